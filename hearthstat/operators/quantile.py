@@ -113,14 +113,7 @@ def _first_cells(cells: DataFrame, groups, probs, na_rm: bool, rtol: float) -> D
             "_cum": F.sum(F.when(known, F.col("_w"))).over(upto),
         }
     )
-    if isinstance(probs, DataFrame):
-        own = [c for c in probs.columns if c not in groups]
-        wanted = probs.withColumnsRenamed({g: f"_p_{g}" for g in groups})
-        other = [f"_p_{g}" for g in groups]
-        summed = summed.join(F.broadcast(wanted), same(summed, wanted, groups, other)).drop(*other)
-    else:
-        own = ["p"]
-        summed = summed.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    summed, own = _with_probs(summed, groups, probs)
     goal = F.col("p") * F.col("_total")
     reached = known & (F.col("_cum") >= goal * (1.0 - rtol))
     here = F.struct("_cell", (F.col("_cum") - F.col("_w")).alias("_before"), "_lo", "_hi", "_n")
@@ -135,6 +128,22 @@ def _first_cells(cells: DataFrame, groups, probs, na_rm: bool, rtol: float) -> D
     )
 
 
+def _with_probs(cells: DataFrame, groups, probs) -> tuple[DataFrame, list[str]]:
+    """Each cell once per probability wanted in its group, and the columns that came along."""
+    if not isinstance(probs, DataFrame):
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        return cells.withColumn("p", F.explode(wanted)), ["p"]
+    own = [c for c in probs.columns if c not in groups]
+    if not groups:
+        rows = [F.struct(*[F.lit(r[c]).alias(c) for c in own]) for r in probs.collect()]
+        return cells.select("*", F.inline(F.array(*rows))), own
+    wanted, small = local_if_small(probs)
+    other = [f"_p_{g}" for g in groups]
+    wanted = wanted.withColumnsRenamed(dict(zip(groups, other)))
+    joined = cells.join(hint_if(wanted, small), same(cells, wanted, groups, other))
+    return joined.drop(*other), own
+
+
 def _still_large(found: DataFrame, rows_per_cell: int) -> bool:
     rows = found.select("_n", "_lo", "_hi").toArrow().to_pylist()
     return any(
