@@ -40,12 +40,17 @@ def _one(design, stat, y, by, options) -> DataFrame:
 
 
 def point_estimates(
-    design: Design, measures: dict[str, Measure], by: Sequence[str] = (), na_rm: bool = False
+    design: Design,
+    measures: dict[str, Measure],
+    by: Sequence[str] = (),
+    na_rm: bool = False,
+    rollup: bool = False,
 ) -> DataFrame:
     """Estimates without errors, all in one pass; a measure may hold for a subset only.
 
     A measure is ``(stat, column)`` or ``(stat, column, condition)``.  A subset without
-    rows has total 0 and mean NULL.
+    rows has total 0 and mean NULL.  ``rollup`` adds sub-totals and ``level``, the number
+    of ``by`` columns a row sums over as a bit mask.
     """
     w = F.col(design.weight)
     out = []
@@ -60,6 +65,8 @@ def point_estimates(
         if not na_rm:
             value = F.when(F.count_if(inside & y.isNull()) == 0, value)
         out.append(value.alias(name))
+    if rollup:
+        return design.df.rollup(*by).agg(F.grouping_id().alias("level"), *out)
     return design.df.groupBy(*by).agg(*out)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .design import Design
 
@@ -48,3 +48,26 @@ def svy_table(
     if levels is None:
         return table
     return levels.join(table, keys, "left").fillna(0.0, subset=["freq"])
+
+
+def calibrated_table(
+    design: Design,
+    column: str,
+    within: str,
+    by: str = "pos_estrato",
+    population: str = "peso_final",
+) -> DataFrame:
+    """``(within, column, freq)`` with weights post-stratified inside each ``within`` level.
+
+    Equal to ``post_stratify`` followed by ``svy_table``, but the rows are read once:
+    weights scale by one factor per post-stratum, so sums by (within, by, column) suffice.
+    """
+    cells = design.df.groupBy(within, by, column).agg(
+        F.sum(design.weight).alias("_w"), F.sum(population).alias("_n")
+    )
+    stratum = Window.partitionBy(within, by)
+    scaled = cells.withColumn(
+        "_w", F.col("_w") * F.sum("_n").over(stratum) / F.sum("_w").over(stratum)
+    )
+    table = scaled.groupBy(within, column).agg(F.sum("_w").alias("freq"))
+    return table.dropna(subset=[within, column])

@@ -19,9 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..workspace import hint_if, local_if_small, same
+from ..workspace import hint_if, local_if_small, local_rows, same
 from .design import Design
 
 # Cells per doubling of |x| + 1, equal-width cells of a refinement, rows a task may sort.
@@ -66,12 +68,24 @@ def svy_quantile(
         F.min("_x").alias("_lo"),
         F.max("_x").alias("_hi"),
     )
-    found, small = local_if_small(_first_cells(cells, groups, probs, na_rm, rtol))
-    for _ in range(MAX_REFINEMENTS if small else 1):
-        if small and not _still_large(found, rows_per_cell):
+    one_group = not groups and not isinstance(probs, DataFrame)
+    found, rows = local_rows(
+        _first_cells(cells, groups, probs, na_rm, rtol), proven=one_group
+    )
+    for _ in range(MAX_REFINEMENTS):
+        if rows is not None and not _still_large(rows, rows_per_cell):
+            break
+        bounds = _bounds(found, rows, groups)
+        finer = _refine(long, found, bounds, groups, rows is not None, rtol)
+        if rows is None:
+            # Too many groups to inspect here: one refinement, then the last step.
+            found = finer
             break
-        found, small = local_if_small(_refine(long, found, groups, small, rtol))
-    return local_if_small(_last_values(long, found, groups, small, rtol))[0]
+        found, rows = local_rows(finer, proven=True)
+    small = rows is not None
+    bounds = _bounds(found, rows, groups)
+    answers = _last_values(long, found, bounds, groups, small, rtol)
+    return local_if_small(answers, proven=True)[0] if small else answers
 
 
 def _long(design: Design, cols, by: list[str]) -> DataFrame:
@@ -144,20 +158,28 @@ def _with_probs(cells: DataFrame, groups, probs) -> tuple[DataFrame, list[str]]:
     return joined.drop(*other), own
 
 
-def _still_large(found: DataFrame, rows_per_cell: int) -> bool:
-    rows = found.select("_n", "_lo", "_hi").toArrow().to_pylist()
-    return any(
-        r["_lo"] is not None and r["_n"] > rows_per_cell and r["_lo"] < r["_hi"] for r in rows
-    )
+def _still_large(rows: pa.Table, rows_per_cell: int) -> bool:
+    cells = rows.filter(pc.less(rows["_lo"], rows["_hi"]))
+    return bool(pc.any(pc.greater(cells["_n"], rows_per_cell)).as_py())
+
+
+def _bounds(found: DataFrame, rows: pa.Table | None, groups) -> DataFrame:
+    """The distinct cells found, with their keys renamed for the join."""
+    keys = [*groups, "_cell", "_lo", "_hi"]
+    if rows is None:
+        cells = found.select(*keys).distinct()
+    else:
+        distinct = rows.select(keys).group_by(keys).aggregate([]).select(keys)
+        cells = F.broadcast(found.sparkSession.createDataFrame(distinct, found.select(*keys).schema))
+    return cells.withColumnsRenamed({k: f"_f_{k}" for k in keys[:-2]})
 
 
-def _candidates(long: DataFrame, found: DataFrame, groups, small: bool) -> DataFrame:
+def _candidates(long: DataFrame, bounds: DataFrame, groups) -> DataFrame:
     """Rows inside the cells found, one copy per cell, with the cell's bounds."""
     keys = [*groups, "_cell"]
-    bounds = found.select(*[F.col(k).alias(f"_f_{k}") for k in keys], "_lo", "_hi").distinct()
     inside = F.col("_x").between(F.col("_lo"), F.col("_hi"))
     cond = same(long, bounds, keys, [f"_f_{k}" for k in keys]) & inside
-    return long.join(hint_if(bounds, small), cond).select(*keys, "_lo", "_hi", "_x", "_w")
+    return long.join(bounds, cond).select(*keys, "_lo", "_hi", "_x", "_w")
 
 
 def _reached(parts: DataFrame, found, cell_keys, order: str, last: Column, small, rtol) -> DataFrame:
@@ -176,11 +198,11 @@ def _reached(parts: DataFrame, found, cell_keys, order: str, last: Column, small
     return parts.join(hint_if(found, small), cond)
 
 
-def _refine(long: DataFrame, found: DataFrame, groups, small: bool, rtol: float) -> DataFrame:
+def _refine(long, found: DataFrame, bounds, groups, small: bool, rtol: float) -> DataFrame:
     cell_keys = [*groups, "_cell", "_lo", "_hi"]
     sub = _linear_cell(F.col("_x"), F.col("_lo"), F.col("_hi")).alias("_sub")
     parts = (
-        _candidates(long, found, groups, small)
+        _candidates(long, bounds, groups)
         .groupBy(*cell_keys, sub)
         .agg(
             F.sum("_w").alias("_w"),
@@ -200,17 +222,17 @@ def _refine(long: DataFrame, found: DataFrame, groups, small: bool, rtol: float)
     keep = [c for c in found.columns if c not in ("_before", "_lo", "_hi", "_n")]
     finer = (
         _reached(parts, found, cell_keys, "_sub", last, small, rtol)
-        .groupBy(*keep)
+        .groupBy(*cell_keys, *[c for c in keep if c not in cell_keys])
         .agg(F.min(here).alias("_at"))
         .select(*keep, "_at._before", "_at._lo", "_at._hi", "_at._n")
     )
     return finer.unionByName(found.filter(F.col("_cell").isNull()))
 
 
-def _last_values(long: DataFrame, found: DataFrame, groups, small: bool, rtol: float) -> DataFrame:
+def _last_values(long, found: DataFrame, bounds, groups, small: bool, rtol: float) -> DataFrame:
     cell_keys = [*groups, "_cell", "_lo", "_hi"]
     values = (
-        _candidates(long, found, groups, small)
+        _candidates(long, bounds, groups)
         .groupBy(*cell_keys, "_x")
         .agg(F.sum("_w").alias("_w"))
     )
@@ -219,8 +241,9 @@ def _last_values(long: DataFrame, found: DataFrame, groups, small: bool, rtol: f
     out = [c for c in found.columns if c not in internal]
     answers = (
         _reached(values, found, cell_keys, "_x", last, small, rtol)
-        .groupBy(*out)
+        .groupBy(*cell_keys, *[c for c in out if c not in groups])
         .agg(F.when(~F.max("_na"), F.min("_x")).alias("quantile"))
+        .select(*out, "quantile")
     )
     nothing = found.filter(F.col("_cell").isNull())
     return answers.unionByName(nothing.select(*out, F.lit(None).cast("double").alias("quantile")))

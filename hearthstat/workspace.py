@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows a small dimension or result may have and still be handled as a local table.
@@ -58,15 +59,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def local_if_small(df: DataFrame, max_rows: int = LOCAL_ROWS) -> tuple[DataFrame, bool]:
+def local_if_small(
+    df: DataFrame, max_rows: int = LOCAL_ROWS, proven: bool = False
+) -> tuple[DataFrame, bool]:
     """Evaluate ``df`` and return it as a local table if it has at most ``max_rows`` rows.
 
     Larger tables are returned unevaluated, so the caller joins them by shuffle.
+    ``proven`` skips the check where the caller knows the bound.
     """
-    rows = df.limit(max_rows + 1).toArrow()
+    local, rows = local_rows(df, max_rows, proven)
+    return local, rows is not None
+
+
+def local_rows(
+    df: DataFrame, max_rows: int = LOCAL_ROWS, proven: bool = False
+) -> tuple[DataFrame, pa.Table | None]:
+    """As ``local_if_small``, with the rows themselves or None."""
+    rows = (df if proven else df.limit(max_rows + 1)).toArrow()
     if rows.num_rows > max_rows:
-        return df, False
-    return df.sparkSession.createDataFrame(rows, df.schema), True
+        return df, None
+    return df.sparkSession.createDataFrame(rows, df.schema), rows
 
 
 def hint_if(df: DataFrame, small: bool) -> DataFrame:
