@@ -44,6 +44,17 @@ class Design:
             F.count_if(F.col(self.weight).isNull()).alias("na_weight"),
         )
 
+    def strata_table(self) -> DataFrame:
+        """``(strata, psus, n, weight)``; PSU ids are counted inside their stratum."""
+        psus = self.df.groupBy(self.strata, self.psu).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(self.weight).alias(self.weight)
+        )
+        return psus.groupBy(self.strata).agg(
+            F.count(F.lit(1)).alias("psus"),
+            F.sum("n").alias("n"),
+            F.sum(self.weight).alias(self.weight),
+        )
+
     def check(self) -> "Design":
         row = self.missing().first()
         bad = {k: row[k] for k in ("na_psu", "na_strata", "na_weight") if row[k]}

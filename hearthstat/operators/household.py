@@ -26,6 +26,20 @@ def household_total(
     return items.groupBy(*keys).agg(_total(value, quirk_plus_one).alias("gasto_total"))
 
 
+def total_on_items(
+    items: DataFrame, value: str = "gasto", keys=HOUSEHOLD_KEYS, quirk_plus_one: bool = False
+) -> DataFrame:
+    """Every item row with its household's ``gasto_total``.
+
+    Totals are merged before the shuffle and joined back, where a window would gather
+    all items of a household in one task.
+    """
+    totals = household_total(items, value, keys, quirk_plus_one)
+    other = [f"_t_{k}" for k in keys]
+    totals = totals.withColumnsRenamed(dict(zip(keys, other)))
+    return items.join(totals, same(items, totals, keys, other)).drop(*other)
+
+
 def first_per_household(
     items: DataFrame, keep: Sequence[str], keys=HOUSEHOLD_KEYS, order=FIRST_ROW_ORDER
 ) -> DataFrame:
@@ -83,7 +97,11 @@ def with_post_strata(
     if not keys:
         raise ValueError("household table and post-strata share no column")
     extra = [c for c in ps.columns if c not in keys]
-    lookup = ps.groupBy(*keys).agg(*[_single(c, keys).alias(c) for c in extra])
+    if extra:
+        lookup = ps.groupBy(*keys).agg(*[_single(F.min(c), keys).alias(c) for c in extra])
+    else:
+        once = ps.groupBy(*keys).agg(_single(F.lit(1), keys).alias("_once"))
+        lookup = once.filter(F.col("_once") == 1).drop("_once")
     if not null_safe:
         return df.join(lookup, keys)
     renamed = lookup.withColumnsRenamed({k: f"_ps_{k}" for k in keys})
@@ -91,8 +109,8 @@ def with_post_strata(
     return df.join(renamed, same(df, renamed, keys, other)).drop(*other)
 
 
-def _single(column: str, keys) -> Column:
+def _single(value: Column, keys) -> Column:
     duplicate = F.raise_error(
         F.lit(f"post-strata have more than one row for the same {', '.join(keys)}")
     )
-    return F.when(F.count(F.lit(1)) == 1, F.min(column)).otherwise(duplicate)
+    return F.when(F.count(F.lit(1)) == 1, value).otherwise(duplicate)

@@ -58,6 +58,14 @@ class Report:
         }
 
 
+    def stacked(self, measures: Sequence[str]) -> DataFrame:
+        """``(decil, label, measure, value)``: the measures below one another."""
+        pairs = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures]
+        return self.table.select(
+            "decil", decile_label(F.col("decil")).alias("label"), F.inline(F.array(*pairs))
+        )
+
+
 def base_design(survey: Survey, codes: str, plus_one: bool) -> Design:
     """Households with spending on ``codes`` and their post-strata, as a design."""
     items = with_annual_amounts(items_in(survey.items, survey.codes[codes]))
