@@ -171,20 +171,21 @@ def oracle_sql() -> dict[str, str]:
     # Sources and sinks
     sql["s1_read_living_conditions"] = q(
         CONDITIONS,
-        """SELECT household AS v6102, uf, estrato_pof, cod_upa, household % 100 AS num_dom, num_uc,
-          v61058, peso, peso_final, renda_total FROM conditions""",
+        """SELECT CAST(household AS INTEGER) AS v6102, uf, estrato_pof, cod_upa,
+          CAST(household % 100 AS INTEGER) AS num_dom, CAST(num_uc AS INTEGER) AS num_uc,
+          CAST(v61058 AS INTEGER) AS v61058, peso, peso_final, renda_total FROM conditions""",
     )
     sql["s2_read_expenses"] = q(
         ITEMS,
-        """SELECT household % 100000 AS v9004, uf, estrato_pof, cod_upa, num_uc, cod_informante,
-          v9001, v9011, fator_anualizacao, round(v8000_defla, 2) AS v8000_defla,
+        """SELECT CAST(household % 100000 AS INTEGER) AS v9004, uf, estrato_pof, cod_upa,
+          CAST(num_uc AS INTEGER) AS num_uc, cod_informante, CAST(v9001 AS INTEGER) AS v9001, v9011, fator_anualizacao, round(v8000_defla, 2) AS v8000_defla,
           round(deflator, 2) AS deflator, peso, peso_final, renda_total FROM items""",
     )
     sql["s3_missing_values"] = q(
         ITEMS,
         """SELECT count(*) AS n, count(*) - count(v9011) AS na_v9011,
           count(*) - count(deflator) AS na_deflator, count(*) - count(num_uc) AS na_num_uc,
-          sum(CASE WHEN uf = 0 THEN 1 ELSE 0 END) AS na_uf, count(*) AS na_v8000
+          count(*) FILTER (uf = 0) AS na_uf, count(*) AS na_v8000
         FROM items""",
     )
     sql["s4_lower_names"] = "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer"
@@ -287,7 +288,7 @@ def oracle_sql() -> dict[str, str]:
     # Unweighted aggregates
     sql["a1_answer_frequency"] = q(
         CONDITIONS,
-        """SELECT v61058, sum(n) AS freq FROM (SELECT v61058, count(*) AS n FROM conditions GROUP BY 1
+        """SELECT v61058, CAST(sum(n) AS BIGINT) AS freq FROM (SELECT v61058, count(*) AS n FROM conditions GROUP BY 1
         UNION ALL SELECT NULL, 0) t GROUP BY 1""",
     )
     sql["a2_answer_by_decile"] = q(
