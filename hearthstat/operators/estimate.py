@@ -1,10 +1,10 @@
 """Weighted totals and means, with stratified-cluster standard errors.
 
-Standard errors use with-replacement linearisation.  Three aggregations, each merged
-before its shuffle: rows to PSU sums, PSU sums to second moments per stratum, strata to
-one row per group.  The linearised value of a mean, (w*y - mean*w) / W, is linear in the
-PSU sums of w*y and w, so their variances and covariance are all that is needed; the
-mean itself enters on the last, small table.
+Standard errors use with-replacement linearisation.  Rows are read once and merged to PSU
+sums of w*y and w.  Everything after works on that table: group totals are joined back to
+the PSUs to give linearised values, whose spread is taken per stratum by a stable
+variance and added up per group.  Both uses of the PSU sums read all their columns, so
+Spark computes and shuffles them once.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..workspace import same
 from .design import Design
 
 Measure = tuple  # (stat, column[, condition])
@@ -87,32 +88,27 @@ def svy_estimates(
     """
     by = list(by)
     rows = design.df if where is None else design.df.filter(where)
-    names = list(measures)
+    stats = [stat for stat, _ in measures.values()]
     psus = _psu_sums(rows, design, measures, by, na_rm)
-    strata = psus.groupBy(*by, F.col(design.strata).alias("_h")).agg(
+    values = _linearised(psus, by, stats, design.lonely_psu)
+    strata = values.groupBy(*by, F.col(design.strata).alias("_h")).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[m for i, _ in enumerate(names) for m in _stratum_moments(i)],
+        *[c for i in range(len(stats)) for c in _stratum_spread(i)],
     )
     if domain:
         strata, all_psus = _with_all_psus(strata, design)
     else:
-        strata, all_psus = strata.withColumn("_nf", F.col("_n")), None
-    groups = strata.groupBy(*by).agg(
-        F.sum("_nf").alias("_m"),
-        F.count(F.lit(1)).alias("_strata"),
-        *[s for i, _ in enumerate(names) for s in _group_sums(i)],
-    )
-    if domain:
-        groups = groups.withColumn("_m", all_psus)
+        strata, all_psus = strata.withColumn("_nf", F.col("_n")), F.sum("_n")
     columns = []
-    for i, name in enumerate(names):
-        estimate, variance = _estimate(i, measures[name][0], design.lonely_psu)
-        known = F.lit(True) if na_rm else F.col(f"_na{i}") == 0
-        columns.append(F.when(known, estimate).alias(name))
-        columns.append(F.when(known, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias(f"{name}_se"))
+    for i, name in enumerate(measures):
+        known = F.lit(True) if na_rm else F.max(f"_na{i}") == 0
+        columns.append(F.when(known, F.max(f"_est{i}")).alias(name))
+        columns.append(F.when(known, F.sqrt(_variance(i))).alias(f"{name}_se"))
     if with_df:
-        columns.append((F.col("_m") - F.col("_strata")).alias("df"))
-    return groups.select(*by, *columns)
+        columns.append((all_psus - F.count(F.lit(1))).alias("df"))
+    if domain:
+        strata = _recentred(strata, all_psus, stats)
+    return strata.groupBy(*by).agg(*columns)
 
 
 def _column(y) -> Column:
@@ -136,72 +132,82 @@ def _psu_sums(rows: DataFrame, design: Design, measures, by, na_rm: bool) -> Dat
     return rows.groupBy(*by, design.strata, design.psu).agg(*sums)
 
 
-def _stratum_moments(i: int) -> list[Column]:
-    y, w = f"_y{i}", f"_w{i}"
-    moments = {
-        f"_sy{i}": F.sum(y),
-        f"_sw{i}": F.sum(w),
-        f"_vyy{i}": F.coalesce(F.var_samp(y), F.lit(0.0)),
-        f"_vyw{i}": F.coalesce(F.covar_samp(y, w), F.lit(0.0)),
-        f"_vww{i}": F.coalesce(F.var_samp(w), F.lit(0.0)),
-        f"_na{i}": F.sum(f"_na{i}"),
-    }
-    return [c.alias(name) for name, c in moments.items()]
+def _linearised(psus: DataFrame, by, stats, lonely_psu: str) -> DataFrame:
+    """PSU rows with the group's estimate, its linearised value and the lonely-PSU centre."""
+    sums = [F.count(F.lit(1)).alias("_m")]
+    for i in range(len(stats)):
+        sums += [
+            F.sum(f"_y{i}").alias(f"_ty{i}"),
+            F.sum(f"_w{i}").alias(f"_tw{i}"),
+            F.sum(f"_na{i}").alias(f"_tna{i}"),
+        ]
+    totals = psus.groupBy(*by).agg(*sums)
+    if by:
+        other = [f"_g_{k}" for k in by]
+        totals = totals.withColumnsRenamed(dict(zip(by, other)))
+        joined = psus.join(totals, same(psus, totals, by, other)).drop(*other)
+    else:
+        whole = totals.select(F.struct(*totals.columns)).scalar()
+        joined = psus.withColumn("_whole", whole).select("*", "_whole.*").drop("_whole")
+    columns = []
+    for i, stat in enumerate(stats):
+        y, w = F.col(f"_y{i}"), F.col(f"_w{i}")
+        if stat == "total":
+            estimate, z = F.col(f"_ty{i}"), y
+            centre = estimate / F.col("_m") if lonely_psu == "adjust" else F.lit(0.0)
+        elif stat == "mean":
+            # Linearised values of a mean sum to zero, so both centrings agree.
+            whole_w = F.nullif(F.col(f"_tw{i}"), F.lit(0.0))
+            estimate, centre = F.col(f"_ty{i}") / whole_w, F.lit(0.0)
+            z = (y - estimate * w) / whole_w
+        else:
+            raise ValueError(f"unknown statistic {stat!r}")
+        missing = F.col(f"_tna{i}") + 0 * F.col(f"_na{i}")
+        columns += [
+            z.alias(f"_z{i}"),
+            estimate.alias(f"_est{i}"),
+            centre.alias(f"_c{i}"),
+            missing.alias(f"_na{i}"),
+        ]
+    keys = [c for c in psus.columns if not c.startswith("_")]
+    return joined.select(*keys, *columns)
+
+
+def _stratum_spread(i: int) -> list[Column]:
+    z = f"_z{i}"
+    return [
+        F.sum(z).alias(f"_sz{i}"),
+        F.coalesce(F.var_samp(z), F.lit(0.0)).alias(f"_v{i}"),
+        *[F.max(f"_{name}{i}").alias(f"_{name}{i}") for name in ("est", "c", "na")],
+    ]
 
 
 def _with_all_psus(strata: DataFrame, design: Design) -> tuple[DataFrame, Column]:
+    """Strata with the number of PSUs in the whole table, and that number over all strata."""
     every = (
         design.df.groupBy(design.strata, design.psu)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .groupBy(F.col(design.strata).alias("_hf"))
         .agg(F.count(F.lit(1)).alias("_nf"))
     )
-    joined = strata.join(every, strata["_h"].eqNullSafe(every["_hf"]))
-    return joined, every.agg(F.sum("_nf")).scalar()
+    joined = strata.join(every, same(strata, every, ["_h"], ["_hf"]))
+    return joined, F.lit(every.agg(F.sum("_nf")).scalar())
 
 
-def _group_sums(i: int) -> list[Column]:
-    """Totals, variance terms of strata with several PSUs, and sums over lonely ones."""
-    n, full = F.col("_n"), F.col("_nf")
-    lonely = full == 1
-    spread = full / F.nullif(full - 1, F.lit(0))
+def _recentred(strata: DataFrame, all_psus: Column, stats) -> DataFrame:
+    # With the PSUs of the whole table the mean of all PSU sums is another one.
+    whole = strata.withColumn("_all", all_psus)
+    for i, stat in enumerate(stats):
+        if stat == "total":
+            centre = F.when(F.col(f"_c{i}") == 0, 0.0).otherwise(F.col(f"_est{i}") / F.col("_all"))
+            whole = whole.withColumn(f"_c{i}", centre)
+    return whole
 
-    def term(v: str, a: str, b: str) -> Column:
-        # Squares about the stratum mean; PSUs of the design without rows count as zeros.
-        zeros = F.col(a) * F.col(b) / n * (1.0 - n / full)
-        return F.sum(F.when(~lonely, spread * ((n - 1) * F.col(v) + zeros)).otherwise(0.0))
-
-    sy, sw = f"_sy{i}", f"_sw{i}"
-    alone = {
-        f"_ly{i}": F.col(sy),
-        f"_lyy{i}": F.col(sy) * F.col(sy),
-        f"_lyw{i}": F.col(sy) * F.col(sw),
-        f"_lww{i}": F.col(sw) * F.col(sw),
-        f"_ln{i}": F.lit(1.0),
-    }
-    return [
-        F.sum(sy).alias(f"_ty{i}"),
-        F.sum(sw).alias(f"_tw{i}"),
-        F.sum(f"_na{i}").alias(f"_na{i}"),
-        term(f"_vyy{i}", sy, sy).alias(f"_yy{i}"),
-        term(f"_vyw{i}", sy, sw).alias(f"_yw{i}"),
-        term(f"_vww{i}", sw, sw).alias(f"_ww{i}"),
-        *[F.sum(F.when(lonely, c).otherwise(0.0)).alias(name) for name, c in alone.items()],
-    ]
 
-
-def _estimate(i: int, stat: str, lonely_psu: str) -> tuple[Column, Column]:
-    def c(name: str) -> Column:
-        return F.col(f"_{name}{i}")
-
-    if stat == "total":
-        centre = c("ty") / F.col("_m") if lonely_psu == "adjust" else F.lit(0.0)
-        alone = c("lyy") - 2.0 * centre * c("ly") + c("ln") * centre * centre
-        return c("ty"), c("yy") + alone
-    if stat != "mean":
-        raise ValueError(f"unknown statistic {stat!r}")
-    # Linearised values of a mean sum to zero, so both centrings agree.
-    total = F.nullif(c("tw"), F.lit(0.0))
-    mean = c("ty") / total
-    square = c("yy") + c("lyy") - 2.0 * mean * (c("yw") + c("lyw"))
-    return mean, (square + mean * mean * (c("ww") + c("lww"))) / (total * total)
+def _variance(i: int) -> Column:
+    """Sum over strata; PSUs of the design without rows count as zeros."""
+    n, full, z = F.col("_n"), F.col("_nf"), F.col(f"_sz{i}")
+    squares = (n - 1) * F.col(f"_v{i}") + z * z / n * (1.0 - n / full)
+    alone = z - F.col(f"_c{i}")
+    spread = full / F.nullif(full - 1, F.lit(0))
+    return F.sum(F.when(full > 1, spread * squares).otherwise(alone * alone))
