@@ -90,7 +90,7 @@ def svy_estimates(
     rows = design.df if where is None else design.df.filter(where)
     stats = [stat for stat, _ in measures.values()]
     psus = _psu_sums(rows, design, measures, by, na_rm)
-    values = _linearised(psus, by, stats, design.lonely_psu)
+    values = _linearised(psus, by, stats, design.lonely_psu, na_rm)
     strata = values.groupBy(*by, F.col(design.strata).alias("_h")).agg(
         F.count(F.lit(1)).alias("_n"),
         *[c for i in range(len(stats)) for c in _stratum_spread(i)],
@@ -101,12 +101,12 @@ def svy_estimates(
         strata, all_psus = strata.withColumn("_nf", F.col("_n")), F.sum("_n")
     columns = []
     for i, name in enumerate(measures):
-        known = F.lit(True) if na_rm else F.max(f"_na{i}") == 0
-        columns.append(F.when(known, F.max(f"_est{i}")).alias(name))
-        columns.append(F.when(known, F.sqrt(_variance(i))).alias(f"{name}_se"))
+        estimate = F.max(f"_est{i}")
+        columns.append(estimate.alias(name))
+        columns.append(F.when(estimate.isNotNull(), F.sqrt(_variance(i))).alias(f"{name}_se"))
     if with_df:
         columns.append((all_psus - F.count(F.lit(1))).alias("df"))
-    if domain:
+    if domain and design.lonely_psu == "adjust":
         strata = _recentred(strata, all_psus, stats)
     return strata.groupBy(*by).agg(*columns)
 
@@ -127,20 +127,18 @@ def _psu_sums(rows: DataFrame, design: Design, measures, by, na_rm: bool) -> Dat
         sums += [
             F.sum(F.when(y.isNull(), 0.0).otherwise(w * y)).alias(f"_y{i}"),
             F.sum(F.when(y.isNull(), 0.0).otherwise(w)).alias(f"_w{i}"),
-            F.count_if(y.isNull()).alias(f"_na{i}"),
         ]
+        if not na_rm:
+            sums.append(F.count_if(y.isNull()).alias(f"_na{i}"))
     return rows.groupBy(*by, design.strata, design.psu).agg(*sums)
 
 
-def _linearised(psus: DataFrame, by, stats, lonely_psu: str) -> DataFrame:
+def _linearised(psus: DataFrame, by, stats, lonely_psu: str, na_rm: bool) -> DataFrame:
     """PSU rows with the group's estimate, its linearised value and the lonely-PSU centre."""
     sums = [F.count(F.lit(1)).alias("_m")]
     for i in range(len(stats)):
-        sums += [
-            F.sum(f"_y{i}").alias(f"_ty{i}"),
-            F.sum(f"_w{i}").alias(f"_tw{i}"),
-            F.sum(f"_na{i}").alias(f"_tna{i}"),
-        ]
+        parts = ("y", "w") if na_rm else ("y", "w", "na")
+        sums += [F.sum(f"_{part}{i}").alias(f"_t{part}{i}") for part in parts]
     totals = psus.groupBy(*by).agg(*sums)
     if by:
         other = [f"_g_{k}" for k in by]
@@ -162,13 +160,10 @@ def _linearised(psus: DataFrame, by, stats, lonely_psu: str) -> DataFrame:
             z = (y - estimate * w) / whole_w
         else:
             raise ValueError(f"unknown statistic {stat!r}")
-        missing = F.col(f"_tna{i}") + 0 * F.col(f"_na{i}")
-        columns += [
-            z.alias(f"_z{i}"),
-            estimate.alias(f"_est{i}"),
-            centre.alias(f"_c{i}"),
-            missing.alias(f"_na{i}"),
-        ]
+        if not na_rm:
+            z = F.when(F.col(f"_na{i}") == 0, z)
+            estimate = F.when(F.col(f"_tna{i}") == 0, estimate)
+        columns += [z.alias(f"_z{i}"), estimate.alias(f"_est{i}"), centre.alias(f"_c{i}")]
     keys = [c for c in psus.columns if not c.startswith("_")]
     return joined.select(*keys, *columns)
 
@@ -178,7 +173,7 @@ def _stratum_spread(i: int) -> list[Column]:
     return [
         F.sum(z).alias(f"_sz{i}"),
         F.coalesce(F.var_samp(z), F.lit(0.0)).alias(f"_v{i}"),
-        *[F.max(f"_{name}{i}").alias(f"_{name}{i}") for name in ("est", "c", "na")],
+        *[F.max(f"_{name}{i}").alias(f"_{name}{i}") for name in ("est", "c")],
     ]
 
 
@@ -196,12 +191,9 @@ def _with_all_psus(strata: DataFrame, design: Design) -> tuple[DataFrame, Column
 
 def _recentred(strata: DataFrame, all_psus: Column, stats) -> DataFrame:
     # With the PSUs of the whole table the mean of all PSU sums is another one.
+    totals = [i for i, stat in enumerate(stats) if stat == "total"]
     whole = strata.withColumn("_all", all_psus)
-    for i, stat in enumerate(stats):
-        if stat == "total":
-            centre = F.when(F.col(f"_c{i}") == 0, 0.0).otherwise(F.col(f"_est{i}") / F.col("_all"))
-            whole = whole.withColumn(f"_c{i}", centre)
-    return whole
+    return whole.withColumns({f"_c{i}": F.col(f"_est{i}") / F.col("_all") for i in totals})
 
 
 def _variance(i: int) -> Column:
