@@ -14,6 +14,8 @@ import time
 import duckdb
 from pyspark.sql import SparkSession
 
+from hearthstat.workspace import configure
+
 from .oracles import oracle_sql
 from .queries import QUERIES
 
@@ -29,7 +31,7 @@ def session(cpus: int = 8, partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)
 
 
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:

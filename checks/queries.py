@@ -160,7 +160,7 @@ def s8_write_report(spark, sf_dir):
     space = Workspace(spark)
     report = reports.spend_by_decile(survey(spark, sf_dir), space)
     path = space.child("report")
-    sinks.write_report(report.sheet_tables(), path)
+    sinks.write_report(report.all_sheets(), path)
     names = list(report.sheets)
     first, second = (sinks.read_sheet(spark, path, n).withColumn("sheet", F.lit(n)) for n in names)
     return rounded(first.unionByName(second))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..workspace import same
+from ..workspace import hint_if, local_if_small, same
 
 LONELY_PSU = ("adjust", "uncentred")
 
@@ -79,8 +79,9 @@ def post_stratify(
 ) -> Design:
     """Scale weights so that they sum to ``totals`` in every post-stratum.
 
-    ``within`` calibrates several subsets at once.  Sums are joined back rather than
-    taken over a window, so no task holds a whole post-stratum.
+    ``within`` calibrates several subsets at once.  The factors are joined to the rows
+    (broadcast if few) rather than taken over a window, so no task holds a whole
+    post-stratum.
     """
     keys = [*within, by]
     if totals is None:
@@ -91,10 +92,12 @@ def post_stratify(
         *[F.col(k).alias(f"_r_{k}") for k in keys],
         (F.col("freq") / F.col("_sample")).alias("_ratio"),
     )
-    df = design.df.join(ratio, same(design.df, ratio, keys, [f"_r_{k}" for k in keys]))
+    ratio, small = local_if_small(ratio)
+    other = [f"_r_{k}" for k in keys]
+    df = design.df.join(hint_if(ratio, small), same(design.df, ratio, keys, other))
     calibrated = df.withColumn("peso_calibrado", F.col(design.weight) * F.col("_ratio"))
     return replace(
         design,
-        df=calibrated.drop("_ratio", *[f"_r_{k}" for k in keys]),
+        df=calibrated.drop("_ratio", *other),
         weight="peso_calibrado",
     )

@@ -50,24 +50,31 @@ def svy_table(
     return levels.join(table, keys, "left").fillna(0.0, subset=["freq"])
 
 
-def calibrated_table(
+def calibrated_cells(
     design: Design,
     column: str,
     within: str,
     by: str = "pos_estrato",
     population: str = "peso_final",
 ) -> DataFrame:
-    """``(within, column, freq)`` with weights post-stratified inside each ``within`` level.
+    """``(within, by, column, freq, calibrated)``: plain and post-stratified weight sums.
 
-    Equal to ``post_stratify`` followed by ``svy_table``, but the rows are read once:
-    weights scale by one factor per post-stratum, so sums by (within, by, column) suffice.
+    Calibration inside a ``within`` level scales weights by one factor per post-stratum,
+    so the rows are read once and everything else happens on these few sums.
     """
     cells = design.df.groupBy(within, by, column).agg(
-        F.sum(design.weight).alias("_w"), F.sum(population).alias("_n")
+        F.sum(design.weight).alias("freq"), F.sum(population).alias("_n")
     )
     stratum = Window.partitionBy(within, by)
-    scaled = cells.withColumn(
-        "_w", F.col("_w") * F.sum("_n").over(stratum) / F.sum("_w").over(stratum)
-    )
-    table = scaled.groupBy(within, column).agg(F.sum("_w").alias("freq"))
+    factor = F.sum("_n").over(stratum) / F.sum("freq").over(stratum)
+    return cells.select(within, by, column, "freq", (F.col("freq") * factor).alias("calibrated"))
+
+
+def calibrated_table(design: Design, column: str, within: str, **options) -> DataFrame:
+    """``(within, column, freq)`` with weights post-stratified inside each ``within`` level.
+
+    Equal to ``post_stratify`` followed by ``svy_table``.
+    """
+    cells = calibrated_cells(design, column, within, **options)
+    table = cells.groupBy(within, column).agg(F.sum("calibrated").alias("freq"))
     return table.dropna(subset=[within, column])

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..workspace import hint_if, local_if_small, local_rows, same
+from ..workspace import Workspace, hint_if, local_if_small, local_rows, same
 from .design import Design
 
 # Cells per doubling of |x| + 1, equal-width cells of a refinement, rows a task may sort.
@@ -69,9 +69,7 @@ def svy_quantile(
         F.max("_x").alias("_hi"),
     )
     one_group = not groups and not isinstance(probs, DataFrame)
-    found, rows = local_rows(
-        _first_cells(cells, groups, probs, na_rm, rtol), proven=one_group
-    )
+    found, rows = _evaluated(_first_cells(cells, groups, probs, na_rm, rtol), one_group)
     for _ in range(MAX_REFINEMENTS):
         if rows is not None and not _still_large(rows, rows_per_cell):
             break
@@ -79,15 +77,23 @@ def svy_quantile(
         finer = _refine(long, found, bounds, groups, rows is not None, rtol)
         if rows is None:
             # Too many groups to inspect here: one refinement, then the last step.
-            found = finer
+            found, _ = _evaluated(finer)
             break
-        found, rows = local_rows(finer, proven=True)
+        found, rows = _evaluated(finer, proven=True)
     small = rows is not None
     bounds = _bounds(found, rows, groups)
     answers = _last_values(long, found, bounds, groups, small, rtol)
     return local_if_small(answers, proven=True)[0] if small else answers
 
 
+def _evaluated(found: DataFrame, proven: bool = False) -> tuple[DataFrame, pa.Table | None]:
+    """A local table, or one written to the shared folder when the groups are too many."""
+    found, rows = local_rows(found, proven=proven)
+    if rows is None:
+        found = Workspace(found.sparkSession).stage(found, "quantile_cells")
+    return found, rows
+
+
 def _long(design: Design, cols, by: list[str]) -> DataFrame:
     """Group columns, value, its first-step cell, and weight."""
     w = F.col(design.weight).cast("double").alias("_w")

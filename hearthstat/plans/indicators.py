@@ -19,7 +19,7 @@ from ..functions.products import CODES, items_in
 from ..functions.thresholds import attach_threshold, gap, is_below
 from ..operators.design import Design
 from ..operators.estimate import point_estimates, svy_estimates
-from ..operators.frequency import calibrated_table, crosstab, freq, mean_by, svy_table
+from ..operators.frequency import calibrated_cells, crosstab, freq, mean_by, svy_table
 from ..operators.household import FIRST_ROW_ORDER, household_base, with_post_strata
 from ..operators.quantile import quantile_values, svy_quantile
 from ..workspace import Workspace
@@ -51,19 +51,28 @@ class Report:
     def sheet_tables(self) -> dict[str, DataFrame]:
         """``(decil, label, value)`` per sheet, in report order."""
         return {
-            name: self.table.select(
-                "decil", decile_label(F.col("decil")).alias("label"), F.col(measure).alias("value")
-            )
+            name: self.table.select("decil", _label(), F.col(measure).alias("value"))
             for name, measure in self.sheets.items()
         }
 
+    def all_sheets(self) -> DataFrame:
+        """``(decil, label, sheet, value)``: every sheet from one evaluation of the table."""
+        return self._unpivoted("sheet", self.sheets)
 
     def stacked(self, measures: Sequence[str]) -> DataFrame:
         """``(decil, label, measure, value)``: the measures below one another."""
-        pairs = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures]
-        return self.table.select(
-            "decil", decile_label(F.col("decil")).alias("label"), F.inline(F.array(*pairs))
-        )
+        return self._unpivoted("measure", {m: m for m in measures})
+
+    def _unpivoted(self, key: str, columns: dict[str, str]) -> DataFrame:
+        pairs = [
+            F.struct(F.lit(name).alias(key), F.col(column).alias("value"))
+            for name, column in columns.items()
+        ]
+        return self.table.select("decil", _label(), F.inline(F.array(*pairs)))
+
+
+def _label():
+    return decile_label(F.col("decil")).alias("label")
 
 
 def base_design(survey: Survey, codes: str, plus_one: bool) -> Design:
@@ -139,16 +148,13 @@ def perception(survey: Survey) -> Report:
     )
     rows = assign_decile(rows, "renda_total", FIXED_CUTS)
     design = Design(rows)
-    answers = calibrated_table(design, "decil", "v61058")
-    answer_columns = [
-        F.coalesce(F.sum(F.when(F.col("v61058") == code, F.col("freq"))), F.lit(0.0)).alias(name)
+    cells = calibrated_cells(design, "decil", "v61058").dropna(subset=["decil"])
+    answers = [
+        F.coalesce(F.sum(F.when(F.col("v61058") == code, F.col("calibrated"))), F.lit(0.0)).alias(name)
         for name, code in ANSWERS.items()
     ]
-    overall = svy_table(design, "decil").withColumnRenamed("freq", "familias")
-    table = by_decile(
-        overall.join(F.broadcast(answers.groupBy("decil").agg(*answer_columns)), "decil", "left"),
-        zero=["familias", *ANSWERS],
-    )
+    table = cells.groupBy("decil").agg(F.sum("freq").alias("familias"), *answers)
+    table = by_decile(table, zero=["familias", *ANSWERS])
     sheets = {f"Resultado_{i}": c for i, c in enumerate(["familias", *ANSWERS], 1)}
     extra = {
         "avaliacao": freq(survey.conditions, "v61058"),

@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def write_report(sheets: dict[str, DataFrame], path: str) -> None:
-    """Overwrite ``path`` with every sheet; a reader gets sheet ``s`` from ``sheet = 's'``."""
-    tagged = [df.withColumn("sheet", F.lit(name)) for name, df in sheets.items()]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    union.write.mode("overwrite").partitionBy("sheet").parquet(path)
+def write_report(sheets: dict[str, DataFrame] | DataFrame, path: str) -> None:
+    """Overwrite ``path`` with every sheet; a reader gets sheet ``s`` from ``sheet = 's'``.
+
+    ``sheets`` is a table per name, or one table with a ``sheet`` column.
+    """
+    if isinstance(sheets, dict):
+        tagged = [df.withColumn("sheet", F.lit(name)) for name, df in sheets.items()]
+        sheets = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    sheets.write.mode("overwrite").partitionBy("sheet").parquet(path)
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:

@@ -29,7 +29,7 @@ class Workspace:
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return a scan of the written table."""
-        path = self.child(name)
+        path = self.child(f"{name}-{uuid.uuid4().hex}")
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -47,6 +47,21 @@ class Workspace:
         self.close()
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Adaptive settings the joins rely on when one key holds much of the data.
+
+    A join that feeds a grouping by the same key is split too, at the price of one more
+    shuffle of rows that are already merged.
+    """
+    for name in (
+        "spark.sql.adaptive.enabled",
+        "spark.sql.adaptive.skewJoin.enabled",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin",
+    ):
+        spark.conf.set(name, "true")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -48,7 +48,7 @@ def test_family_counts_add_up(spark, survey, space):
 
 def test_quirks(spark, survey, space):
     published = reports.transport_base(survey, space)
-    fixed = reports.transport_base(survey, type(space)(spark, space.path), "fixed")
+    fixed = reports.transport_base(survey, space, "fixed")
     assert published.median == fixed.median + 1.0
     a = rows(reports.families_below_decile_median(published))
     b = rows(reports.families_below_decile_median(fixed))
@@ -113,7 +113,9 @@ def test_a_missing_amount_spoils_the_median(spark, space):
 def test_sheets_are_written(spark, survey, space, tmp_path):
     report = reports.spend_by_decile(survey, space)
     path = str(tmp_path / "out")
-    sinks.write_report(report.sheet_tables(), path)
+    sinks.write_report(report.all_sheets(), path)
+    single = sinks.read_sheet(spark, path, "Resultado_1").orderBy("decil").collect()
+    assert single == report.sheet_tables()["Resultado_1"].select(*single[0].__fields__).collect()
     sheet = sinks.read_sheet(spark, path, "Resultado_2").orderBy("decil").collect()
     assert [r.label for r in sheet][9] == "10º Decil"
     assert [r.value for r in sheet] == [r.media_gasto for r in report.table.collect()]
