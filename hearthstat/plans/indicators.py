@@ -85,8 +85,9 @@ def base_design(survey: Survey, codes: str, plus_one: bool) -> Design:
 
 
 def staged_design(survey: Survey, codes: str, plus_one: bool, space: Workspace) -> Design:
+    """The base written once to the shared folder, and checked for missing design values."""
     design = base_design(survey, codes, plus_one)
-    return design.on(space.stage(design.df, f"households_{codes}"))
+    return design.on(space.stage(design.df, f"households_{codes}")).check()
 
 
 def income_cuts(design: Design) -> list[float | None]:

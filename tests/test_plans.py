@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.queries import survey
+from hearthstat.operators import quantile
 from hearthstat.operators.design import Design
 from hearthstat.operators.estimate import svy_estimates
 from hearthstat.operators.frequency import calibrated_table
+from hearthstat.operators.household import household_base
 from hearthstat.plans import indicators as reports
 
 
@@ -79,3 +81,56 @@ def test_base_shuffles_once_per_key_without_broadcast(spark):
         assert text.index("Filter (((l_partkey") > text.index("Exchange")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_hot_household_is_split_in_the_join(spark, space):
+    """A third of all items in one household: the join's partition is split by adaptive execution."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.shuffle.partitions": "40",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        n = 300_000
+        household = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 19_999 + 1)
+        items = spark.range(0, n, 1, 8).select(
+            household.alias("household"),
+            F.col("id").alias("seq"),
+            F.lit(2.0).alias("gasto"),
+        )
+        families = spark.range(20_000).select(
+            F.col("id").alias("household"), F.col("id").cast("double").alias("renda_anual")
+        )
+        joined = space.stage(items, "items").join(space.stage(families, "families"), "household")
+        base = household_base(joined, keep=("renda_anual",), keys=("household",), order=("seq",))
+        assert "SortMergeJoin(skew=true)" in final_plan(base)
+        hot = base.filter("household = 0").first()
+        assert (hot.gasto_total, hot.renda_anual) == (2.0 * n / 3, 0.0)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_quantile_steps_read_value_and_weight_only(households):
+    """Cells are merged before the shuffle; candidates meet the cells in a broadcast join."""
+    seen = []
+    whole = quantile.local_rows
+
+    def spy(df, *args, **kwargs):
+        seen.append(plan(df))
+        return whole(df, *args, **kwargs)
+
+    quantile.local_rows = spy
+    try:
+        quantile.svy_quantile(households, "gasto_total", [0.5], ["decil"]).collect()
+    finally:
+        quantile.local_rows = whole
+    for text in seen:
+        assert "ReadSchema: struct<decil:int,gasto_total:double,peso:double>" in text
+        assert "partial_sum(_w" in text
+        assert "Nested" not in text and "Cartesian" not in text
