@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -206,12 +207,17 @@ class TransportBase:
         rows = attach_threshold(self.design.df, self.median).filter(is_below("gasto_total"))
         return self.design.on(rows.withColumn("valor_total", gap("gasto_total")))
 
+    @cached_property
+    def decile_medians(self) -> DataFrame:
+        """``(decil, p, threshold)``, computed once for the reports that share this base."""
+        rows = self.design.df.filter(F.col("decil").isNotNull())
+        medians = svy_quantile(self.design.on(rows), "gasto_total", [0.5], ["decil"])
+        return medians.withColumnRenamed("quantile", "threshold")
+
     def with_decile_median(self) -> Design:
         """Families with a decile and its median spend as ``threshold``."""
         rows = self.design.df.filter(F.col("decil").isNotNull())
-        medians = svy_quantile(self.design.on(rows), "gasto_total", [0.5], ["decil"])
-        medians = medians.withColumnRenamed("quantile", "threshold")
-        return self.design.on(attach_threshold(rows, medians, "decil"))
+        return self.design.on(attach_threshold(rows, self.decile_medians, "decil"))
 
 
 def transport_base(survey: Survey, space: Workspace, quirks: str = "reference") -> TransportBase:

@@ -1,3 +1,6 @@
+import os
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +99,26 @@ def test_workspace(spark, tmp_path):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
+class Context:
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_a_folder_is_made_up_in_local_mode_only():
+    unset = SimpleNamespace(get=lambda key, default: default)
+    local = SimpleNamespace(conf=unset, sparkContext=Context("local[2]"))
+    folder = shared_folder(local)
+    assert os.path.isdir(folder) and shared_folder(local) == folder
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf=unset, sparkContext=Context("yarn")))
+
+
 def test_local_tables_are_size_checked(spark):
     df = spark.range(10).toDF("n")
     local, small = local_if_small(df, 10)
