@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.items import HOUSEHOLD_KEYS
+from ..functions.items import HOUSEHOLD_KEYS, ids_to_string
 from ..workspace import same
 
 FIRST_ROW_ORDER = ("cod_informante", "quadro", "seq", "v9001")
@@ -96,6 +96,11 @@ def with_post_strata(
     keys = list(on) if on is not None else [c for c in df.columns if c in ps.columns]
     if not keys:
         raise ValueError("household table and post-strata share no column")
+    # Ids may be numbers on one side and text on the other: compare both as text.
+    ours, theirs = dict(df.dtypes), dict(ps.dtypes)
+    mixed = [k for k in keys if "string" in (ours[k], theirs[k]) and ours[k] != theirs[k]]
+    if mixed:
+        df, ps = ids_to_string(df, mixed), ids_to_string(ps, mixed)
     extra = [c for c in ps.columns if c not in keys]
     if extra:
         lookup = ps.groupBy(*keys).agg(*[_single(F.min(c), keys).alias(c) for c in extra])

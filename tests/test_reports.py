@@ -1,10 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks.fixed_width_files import write_fwf
 from hearthstat.functions.deciles import NATIONAL
 from hearthstat.plans import indicators as reports
 from hearthstat.plans.indicators import Survey
 from hearthstat.sources import sinks
+from hearthstat.sources.fixed_width import FILE_ORDER, read_fwf
+from hearthstat.sources.layouts import INDIVIDUAL_EXPENSES
 
 ITEMS = (
     "cod_upa long, num_dom int, num_uc int, cod_informante int, quadro int, seq int, v9001 int,"
@@ -135,3 +138,26 @@ def test_perception(spark):
     assert table[1].nao_tem == 5.0
     counts = {r.v61058: r.freq for r in report.extra["avaliacao"].collect()}
     assert counts == {1: 2, 4: 2, None: 1}
+
+
+def test_from_fixed_width_lines_to_report(spark, space, tmp_path):
+    """The published layout, file order and text ids, end to end."""
+    items = make_items(spark, 60)
+    # A second item per household, later in the file and with another income.
+    later = items.withColumns({"seq": F.lit(2), "deflator": F.lit(2.0), "v8000_defla": F.lit(1.0)})
+    path = str(tmp_path / "DESPESA_INDIVIDUAL.txt")
+    lines = items.unionByName(later).coalesce(1).sortWithinPartitions("cod_upa", "num_dom", "seq")
+    write_fwf(lines, path, INDIVIDUAL_EXPENSES)
+    read = read_fwf(spark, path, INDIVIDUAL_EXPENSES, na_strings=(" ",), file_order=True)
+    text_ids = post_strata(spark).withColumn("cod_upa", F.col("cod_upa").cast("string"))
+    survey = Survey(items=read, post_strata=text_ids, order=FILE_ORDER)
+    base = reports.transport_base(survey, space)
+    families = {r.num_dom: r for r in base.design.df.collect()}
+    assert len(families) == 60
+    for i, row in families.items():
+        assert row.gasto_total == (1 + i * 37 % 101 + 1) * 12 + 1
+        assert row.renda_anual == i * 12.0
+        assert row.pos_estrato == "PQ"[i % 12 % 2]
+    assert sum(r.familias for r in rows(reports.families_below_decile_median(base)).values()) == sum(
+        1.0 + i % 4 for i in range(60)
+    )
