@@ -123,7 +123,7 @@ sized AS (SELECT st.grp, h, n, s, {size} AS nh FROM st {join_full}),
 dev AS (SELECT z.grp, h, m, nh, n, s, sum(CASE WHEN nh > 1 THEN (z - s / nh) * (z - s / nh)
     ELSE (z - {centre}) * (z - {centre}) END) AS ss
   FROM z JOIN sized USING (h) JOIN gz ON z.grp IS NOT DISTINCT FROM gz.grp
-  WHERE z.grp IS NOT DISTINCT FROM sized.grp GROUP BY ALL),
+  WHERE z.grp IS NOT DISTINCT FROM sized.grp GROUP BY z.grp, h, m, nh, n, s, gsum),
 var AS (SELECT grp, sum(CASE WHEN nh > 1
     THEN CAST(nh AS DOUBLE) / (nh - 1) * (ss + (nh - n) * (s / nh) * (s / nh)) ELSE ss END) AS v
   FROM dev GROUP BY 1),
@@ -185,7 +185,7 @@ def oracle_sql() -> dict[str, str]:
         ITEMS,
         """SELECT count(*) AS n, count(*) - count(v9011) AS na_v9011,
           count(*) - count(deflator) AS na_deflator, count(*) - count(num_uc) AS na_num_uc,
-          count(*) FILTER (uf = 0) AS na_uf, count(*) AS na_v8000
+          count(*) FILTER (WHERE uf = 0) AS na_uf, count(*) AS na_v8000
         FROM items""",
     )
     sql["s4_lower_names"] = "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer"
@@ -293,7 +293,7 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["a2_answer_by_decile"] = q(
         CONDITIONS_DEC,
-        f"""SELECT v61058, {", ".join(f"count(*) FILTER (decil = {k}) AS d{k}" for k in range(1, 11))}
+        f"""SELECT v61058, {", ".join(f"count(*) FILTER (WHERE decil = {k}) AS d{k}" for k in range(1, 11))}
         FROM dec WHERE v61058 IS NOT NULL GROUP BY 1""",
     )
     sql["a3_population_totals"] = q(
