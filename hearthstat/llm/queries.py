@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import language, packing, quality
+from . import archives, language, licenses, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,32 @@ def op9_language_id(spark, sf_dir):
     kernel = language.fit(language.labelled_sample(docs.filter(~F.col("held_out")), "text", "lang"))
     found = docs.select("doc_id", "held_out", language.predict("text", kernel).alias("p"))
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+@query
+def op3_warc_zip(spark, sf_dir):
+    return archives.round_trip(table(spark, sf_dir, "pages")).select(*archives.RECORD_COLUMNS)
+
+
+SQL["op3_warc_zip"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS low FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id > low THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > low THEN low END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+
+@query
+def op5_token_counts(spark, sf_dir):
+    return token_counts.section_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op6_license_scan(spark, sf_dir):
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
+SQL["op6_license_scan"] = licenses.license_sql()
