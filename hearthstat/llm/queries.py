@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import archives, language, licenses, packing, quality, token_counts
+from . import archives, jaccard_join, language, licenses, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op6_license_scan(spark, sf_dir):
 
 
 SQL["op6_license_scan"] = licenses.license_sql()
+
+
+@query
+def op7_ngram_jaccard_join(spark, sf_dir):
+    joined = jaccard_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
