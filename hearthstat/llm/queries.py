@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import archives, jaccard_join, language, licenses, packing, quality, token_counts
+from . import archives, jaccard_join, language, licenses, packing, quality, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,9 @@ SQL["op6_license_scan"] = licenses.license_sql()
 def op7_ngram_jaccard_join(spark, sf_dir):
     joined = jaccard_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
     return joined.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op10_suffix_array_dedup(spark, sf_dir):
+    cleaned = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", *(f"_dedup.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
