@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import archives, jaccard_join, language, licenses, packing, quality, suffix_dedup, token_counts
+from . import archives, decontaminate, jaccard_join, language, licenses, packing, quality, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +90,8 @@ def op7_ngram_jaccard_join(spark, sf_dir):
 def op10_suffix_array_dedup(spark, sf_dir):
     cleaned = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", *(f"_dedup.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+
+
+@query
+def op4_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
