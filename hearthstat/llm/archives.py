@@ -1,7 +1,7 @@
 """Web archives in ZIP packages: written by tasks, read back by ranges without extraction.
 
-A package holds stored (not compressed) WARC members under ``archive/`` and an index of
-their records under ``indexes/``.  Each task writes one package under a name of its own
+A package holds stored WARC members under ``archive/``, whose records are gzip members each
+on its own, and an index of the records under ``indexes/``.  Each task writes one package under a name of its own
 attempt and returns that name; only names in the staged result are ever read, so a lost or
 repeated attempt leaves no trace in the data.  Reading parses the central directory (with
 ZIP64 fields), finds members by it, cuts the index into ranges of records, spreads the
@@ -18,6 +18,7 @@ rows.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import os
@@ -89,9 +90,9 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
                     stream = files.open_output_stream(f"{place}/{os.path.basename(path)}")
                     package = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
                 if member is None:
-                    name, at = f"archive/data-{len(package.filelist):04d}.warc", 0
+                    name, at = f"archive/data-{len(package.filelist):04d}.warc.gz", 0
                     member = package.open(name, "w", force_zip64=True)
-                raw = record(page_id, url, payload.encode(), digest, refers_to)
+                raw = gzip.compress(record(page_id, url, payload.encode(), digest, refers_to), 5, mtime=0)
                 member.write(raw)
                 index.append(json.dumps({"filename": name, "offset": at, "length": len(raw), "page": page_id}))
                 at += len(raw)
@@ -229,7 +230,7 @@ def read_records(ranges: DataFrame, with_payload: bool = False) -> DataFrame:
                 with files.open_input_file(place) as file:
                     raw, p, rows = read_at(file, start, sum(lengths)), 0, []
                 for n in lengths:
-                    fields, block = parse_record(raw[p : p + n])
+                    fields, block = parse_record(gzip.decompress(raw[p : p + n]))
                     p += n
                     payload = block.partition(b"\r\n\r\n")[2]
                     digest, size = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["x-payload-length"])
