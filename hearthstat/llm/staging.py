@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,13 @@ def _close(application: str) -> None:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+    """Write ``df`` once and return a scan of the written table.
+
+    Shuffle files of steps that are over go first: Spark drops them when the driver collects
+    the garbage that refers to them, and a driver with little to do may not do so for long.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return workspace(df.sparkSession).stage(df, name)
 
 
