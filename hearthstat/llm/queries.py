@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import archives, decontaminate, jaccard_join, language, licenses, packing, quality, suffix_dedup, token_counts
+from . import archives, decontaminate, jaccard_join, language, licenses, packing, pitman_yor, quality, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +95,8 @@ def op10_suffix_array_dedup(spark, sf_dir):
 @query
 def op4_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_pitman_yor_scoring(spark, sf_dir):
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"), fold(5))
