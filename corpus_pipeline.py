@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthstat.llm import quality
-from hearthstat.llm.queries import table
+from hearthstat.llm import decontaminate, jaccard_join, packing, quality, suffix_dedup
+from hearthstat.llm.queries import VOCABULARY, table
 from hearthstat.llm.staging import staged
 from hearthstat.workspace import configure
 
@@ -18,7 +19,46 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.filter(quality.judge(docs["text"], field)["kept"])
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 3-word shingles: the one with the least id, then the least text.
+
+    Rows of one id and one text are one document; documents without words are each their own.
+    """
+    key = F.xxhash64("doc_id", "text")
+    joined = jaccard_join.ngram_jaccard_join(docs.select("doc_id", "text", key.alias("_key")), id_col="_key")
+    groups = staged(joined.select("_key", "component_id").distinct(), "groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key"))
+    ids = docs.select(key.alias("_key"), "doc_id").join(groups, "_key")
+    kept = ids.groupBy("component_id").agg(least.alias("_least")).select("_least._key")
+    return docs.join(kept, key == kept["_key"], "left_semi").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without its repeated byte strings; ``n_chars`` follows the text."""
+    cleaned = suffix_dedup.deduplicated(docs)
+    changed = F.col("_dedup.n_removed") > 0
+    columns = {"text": F.when(changed, F.col("_dedup.kept")).otherwise(F.col("text"))}
+    columns["n_chars"] = F.when(changed, F.length("_dedup.kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cleaned.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, each with its sequence and place."""
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path(VOCABULARY), with_crc32=True, with_ids=False))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("best-fit packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
