@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrays import _INVERSE, flat, mixed, powers, prefix_sums, span_hashes, text_slices
 from .induced import suffixes
-from .staging import staged
+from .staging import forget, staged
 
 LENGTH, GRAM = 400, 160
 SHARD_BYTES = 4 << 20
@@ -117,7 +117,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     one = lambda c: F.min_by(c, "_k").alias(c)
     kinds = found.withColumn("_k", key).groupBy("anchor", "around").agg(F.count("*").alias("n"), *(one(c) for c in ANCHOR_COLUMNS[2:]))
     kinds = staged(kinds, "surroundings")
-    whole = found.join(kinds.filter("n > 1").select("anchor", "around"), ["anchor", "around"]).select("uid", "a", "b")
+    whole = staged(found.join(kinds.filter("n > 1").select("anchor", "around"), ["anchor", "around"]).select("uid", "a", "b").distinct(), "whole")
+    forget(found)
     differing = kinds.groupBy("anchor").agg(F.count("*").alias("_kinds")).filter("_kinds > 1").select("anchor")
     # A repeat reaches half of what the anchor leaves to its left or to its right.
     sides = F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("half")) for i, c in enumerate(("left", "right"))))
@@ -125,6 +126,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     sided = sided.select(F.xxhash64("anchor", "_s.side", "_s.half").alias("group"), "uid", "a", "b")
     several = sided.groupBy("group").agg(F.count("*").alias("_n")).filter("_n > 1").select("group")
     chosen = staged(sided.join(several, "group"), "chosen")
+    forget(kinds)
     size = chosen.agg(F.sum(F.col("b") - F.col("a"))).first()[0] or 0
     if not size:
         return whole
