@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .arrays import prefix_sums, span_hashes, text_slices, words
-from .staging import staged
+from .staging import forget, staged
 
 DEPTH = 5
 SYMBOLS = 256
@@ -190,12 +190,23 @@ def _bucket_of(kind: int, keys: np.ndarray) -> np.ndarray:
     return keys >> 8 & 0xFFFF if kind == 0 else -1 - (keys & (WORD_BUCKETS - 1))
 
 
-def _packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    return keys.astype("<i8").tobytes(), counts.astype("<i8").tobytes()
+def _packed(bucket: int, keys: np.ndarray) -> bytes:
+    """A bucket's keys in order; of contexts four bytes are left besides the bucket's two."""
+    if bucket < 0:
+        return keys.astype("<i8").tobytes()
+    return ((keys >> 24 << 8) | (keys & 255)).astype("<u4").tobytes()
 
 
-def _keys(row: bytes) -> np.ndarray:
-    return np.frombuffer(row, "<i8")
+def _keys(bucket: int, row: bytes) -> np.ndarray:
+    if bucket < 0:
+        return np.frombuffer(row, "<i8")
+    short = np.frombuffer(row, "<u4").astype(np.int64)
+    return short >> 8 << 24 | bucket << 8 | short & 255
+
+
+def _value_kind(bucket: int) -> str:
+    """Word counts are exact as doubles; log probabilities are summed, floats will do."""
+    return "<f8" if bucket < 0 else "<f4"
 
 
 def _chunk_rows(group: int):
@@ -221,7 +232,8 @@ def _chunk_rows(group: int):
             cuts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])[: len(order)])
             for a, b in zip(cuts, np.append(cuts[1:], len(order))):
                 part = order[a:b]
-                out.append((chunk, int(bucket[part[0]]), chunk // group, *_packed(keys[part], counts[part])))
+                mine = int(bucket[part[0]])
+                out.append((chunk, mine, chunk // group, _packed(mine, keys[part]), counts[part].astype("<u4").tobytes()))
         yield _batch(out, ("chunk", "bucket", "salt", "keys", "counts"))
 
     return collect
@@ -232,14 +244,22 @@ def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(n, pa.int64())) for i, n in enumerate(names)], names=list(names))
 
 
-def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _adder(kind: str):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _add(key, batches, kind)
+
+    return add
+
+
+def _add(key, batches, kind: str):
     """Training counts of one bucket added up; strings that no training text holds go."""
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bucket = key[0].as_py()
     for batch in batches:
-        parts = [(_keys(k), _keys(c)) for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist())]
+        parts = [(_keys(bucket, k), np.frombuffer(c, kind).astype(np.int64)) for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist())]
         parts = [(k[c > 0], c[c > 0]) for k, c in parts]
         keys, counts = _counted([keys, *(k for k, _ in parts)], [counts, *(c for _, c in parts)])
-    yield _batch([(key[0].as_py(), *_packed(keys, counts))], ("bucket", "keys", "counts"))
+    yield _batch([(bucket, _packed(bucket, keys), counts.astype("<i8").tobytes())], ("bucket", "keys", "counts"))
 
 
 def _summary(batches):
@@ -249,8 +269,8 @@ def _summary(batches):
         for bucket, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts"))):
             dishes = np.zeros(SYMBOLS, bool)
             if bucket >= 0:
-                dishes[_keys(keys) & 255] = True
-            rows.append((bucket, len(keys) // 8, int(_keys(counts).sum()), np.packbits(dishes).tobytes()))
+                dishes[_keys(bucket, keys) & 255] = True
+            rows.append((bucket, len(counts) // 8, int(np.frombuffer(counts, "<i8").sum()), np.packbits(dishes).tobytes()))
         yield _batch(rows, ("bucket", "distinct", "total", "keys"))
 
 
@@ -271,17 +291,19 @@ def _valued(top: np.ndarray):
 
     def value(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        known, counts = (_keys(right.column(c)[0].as_py()) if right.num_rows else np.zeros(0, np.int64) for c in ("keys", "counts"))
+        known = _keys(bucket, right.column("keys")[0].as_py()) if right.num_rows else np.zeros(0, np.int64)
+        counts = np.frombuffer(right.column("counts")[0].as_py(), "<i8") if right.num_rows else known
         chunks, raw = left.column("chunk").to_pylist(), left.column("keys").to_pylist()
+        wanted = [_keys(bucket, r) for r in raw]
         if bucket >= 0:
-            every, back = np.unique(np.concatenate([_keys(r) for r in raw]), return_inverse=True)
+            every, back = np.unique(np.concatenate(wanted), return_inverse=True)
             below = Restaurants(known, counts, DEPTH, 2, top[bucket & 255], bucket)
             values = np.log10(below.averaged(every))[back]
         else:
-            at = _found(known, np.concatenate([_keys(r) for r in raw]))
+            at = _found(known, np.concatenate(wanted))
             values = np.where(at >= 0, counts[at] if len(counts) else 0, 0).astype(float)
-        cuts = np.cumsum([0, *(len(r) // 8 for r in raw)])
-        rows = [(c, bucket, r, values[a:b].astype("<f8").tobytes()) for c, r, a, b in zip(chunks, raw, cuts[:-1], cuts[1:])]
+        cuts = np.cumsum([0, *map(len, wanted)])
+        rows = [(c, bucket, r, values[a:b].astype(_value_kind(bucket)).tobytes()) for c, r, a, b in zip(chunks, raw, cuts[:-1], cuts[1:])]
         return pa.Table.from_batches([_batch(rows, ("chunk", "bucket", "keys", "values"))])
 
     return value
@@ -309,7 +331,7 @@ def _scored(id_type: pa.DataType, total: int, distinct: int):
 
 
 def _lookup(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = [(_keys(k), np.frombuffer(v, "<f8")) for b, k, v in zip(*(table.column(c).to_pylist() for c in ("bucket", "keys", "values"))) if (b < 0) == bool(kind)]
+    rows = [(_keys(b, k), np.frombuffer(v, _value_kind(b)).astype(float)) for b, k, v in zip(*(table.column(c).to_pylist() for c in ("bucket", "keys", "values"))) if (b < 0) == bool(kind)]
     keys = np.concatenate([k for k, _ in rows])
     order = np.argsort(keys)
     return keys[order], np.concatenate([v for _, v in rows])[order]
@@ -337,7 +359,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("id"), (~held_out).alias("train"), text.alias("text"), deal.alias("chunk"))
     chunk_rows = staged(rows.groupBy("chunk").applyInArrow(_chunk_rows(group), "chunk long, bucket long, salt long, keys binary, counts binary"), "chunk_strings")
     counts = "bucket long, keys binary, counts binary"
-    summed = chunk_rows.groupBy("bucket", "salt").applyInArrow(_add, counts).groupBy("bucket").applyInArrow(_add, counts)
+    parts = chunk_rows.groupBy("bucket", "salt").applyInArrow(_adder("<u4"), counts)
+    summed = parts.groupBy("bucket").applyInArrow(_adder("<i8"), counts)
     summed = staged(summed, "counts")
     summary = summed.mapInArrow(_summary, "bucket long, distinct long, total long, keys binary").toArrow().to_pylist()
     tokens = [r for r in summary if r["bucket"] < 0]
@@ -346,6 +369,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     spread = summed.select("bucket", salts.alias("salt"), "keys", "counts")
     valued = chunk_rows.select("bucket", "salt", "chunk", "keys").groupBy("bucket", "salt").cogroup(spread.groupBy("bucket", "salt"))
     valued = staged(valued.applyInArrow(_valued(top), "chunk long, bucket long, keys binary, values binary"), "values")
+    forget(chunk_rows)
+    forget(summed)
     id_field = docs.schema[id_col]
     fields = [T.StructField("id", id_field.dataType), T.StructField("held_out", T.BooleanType())]
     fields += [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]
