@@ -15,7 +15,7 @@ from hearthstat.operators.interval import svy_quantile_ci
 from hearthstat.operators.quantile import svy_quantile
 from hearthstat.plans import indicators as reports
 from hearthstat.sources import fixed_width, layouts, sinks, survey_view, tables
-from hearthstat.workspace import Workspace
+from hearthstat.workspace import session_space
 
 from .fixed_width_files import write_fwf
 from .oracles import OFFSET
@@ -60,7 +60,7 @@ def valued_items(s: reports.Survey, codes: str) -> DataFrame:
 
 def decile_design(spark, sf_dir, codes="fuel") -> Design:
     """Staged households with spending on ``codes`` and their income decile."""
-    design = reports.staged_design(survey(spark, sf_dir), codes, False, Workspace(spark))
+    design = reports.staged_design(survey(spark, sf_dir), codes, False, session_space(spark))
     cuts = reports.income_cuts(design)
     return design.on(deciles.assign_decile(design.df, "renda_anual", cuts))
 
@@ -70,7 +70,7 @@ def placed(design: Design) -> Design:
 
 
 def transport(spark, sf_dir, quirks="reference") -> reports.TransportBase:
-    return reports.transport_base(survey(spark, sf_dir), Workspace(spark), quirks)
+    return reports.transport_base(survey(spark, sf_dir), session_space(spark), quirks)
 
 
 def perception_rows(spark, sf_dir) -> DataFrame:
@@ -91,7 +91,7 @@ def file_row(df: DataFrame) -> DataFrame:
 
 @query
 def s1_read_living_conditions(spark, sf_dir):
-    path = Workspace(spark).child("conditions.txt")
+    path = session_space(spark).child("conditions.txt")
     rows = file_row(survey_view.living_conditions(spark, sf_dir))
     rows = rows.withColumn("v6102", F.col("household"))
     write_fwf(rows, path, layouts.LIVING_CONDITIONS)
@@ -103,7 +103,7 @@ def s1_read_living_conditions(spark, sf_dir):
 
 
 def expense_file(spark, sf_dir) -> str:
-    path = Workspace(spark).child("expenses.txt")
+    path = session_space(spark).child("expenses.txt")
     rows = file_row(survey_view.expense_items(spark, sf_dir))
     rows = rows.withColumn("v9004", F.col("household") % 100000)
     write_fwf(rows, path, layouts.INDIVIDUAL_EXPENSES)
@@ -140,7 +140,7 @@ def s4_lower_names(spark, sf_dir):
 
 @query
 def s5_save_table(spark, sf_dir):
-    path = Workspace(spark).child("conditions")
+    path = session_space(spark).child("conditions")
     tables.save_table(survey_view.living_conditions(spark, sf_dir), path, ("uf",))
     saved = tables.load_table(spark, path)
     return saved.groupBy("uf").agg(F.count(F.lit(1)).alias("n"), F.sum("peso").alias("peso"))
@@ -148,7 +148,7 @@ def s5_save_table(spark, sf_dir):
 
 @query
 def s6_load_table(spark, sf_dir):
-    path = Workspace(spark).child("conditions")
+    path = session_space(spark).child("conditions")
     tables.save_table(survey_view.living_conditions(spark, sf_dir), path)
     return tables.load_table(spark, path).select(
         "household", "estrato_pof", "cod_upa", "peso", "renda_total"
@@ -157,7 +157,7 @@ def s6_load_table(spark, sf_dir):
 
 @query
 def s8_write_report(spark, sf_dir):
-    space = Workspace(spark)
+    space = session_space(spark)
     report = reports.spend_by_decile(survey(spark, sf_dir), space)
     path = space.child("report")
     sinks.write_report(report.all_sheets(), path)
@@ -168,7 +168,7 @@ def s8_write_report(spark, sf_dir):
 
 @query
 def s9_write_csv2(spark, sf_dir):
-    path = Workspace(spark).child("total_dif.csv")
+    path = session_space(spark).child("total_dif.csv")
     total = svy_total(transport(spark, sf_dir).below_median(), "valor_total")
     sinks.write_csv2(total, path)
     return rounded(sinks.read_csv2(spark, path, total.schema), 3, se=0)
@@ -408,7 +408,7 @@ def e2_design_check(spark, sf_dir):
 
 @query
 def e3_lonely_psu(spark, sf_dir):
-    design = reports.staged_design(survey(spark, sf_dir), "fuel", False, Workspace(spark))
+    design = reports.staged_design(survey(spark, sf_dir), "fuel", False, session_space(spark))
     parts = [
         svy_total(Design(design.df, lonely_psu=p), "gasto_total").withColumn("lonely_psu", F.lit(p))
         for p in ("adjust", "uncentred")
@@ -499,7 +499,7 @@ def e15_mean_gap(spark, sf_dir):
 
 
 def quantiles(spark, sf_dir, codes, plus_one, column, probs):
-    design = reports.staged_design(survey(spark, sf_dir), codes, plus_one, Workspace(spark))
+    design = reports.staged_design(survey(spark, sf_dir), codes, plus_one, session_space(spark))
     return rounded(svy_quantile(design, column, probs))
 
 
@@ -576,7 +576,7 @@ def w2_first_item(spark, sf_dir):
 
 @query
 def w3_report_order(spark, sf_dir):
-    report = reports.spend_by_decile(survey(spark, sf_dir), Workspace(spark))
+    report = reports.spend_by_decile(survey(spark, sf_dir), session_space(spark))
     sheet = report.sheet_tables()["Resultado_2"]
     # The position is read off the order in which the report's rows come.
     return rounded(sheet.withColumn("position", (F.monotonically_increasing_id() + 1).cast("int")))
@@ -587,7 +587,7 @@ def w3_report_order(spark, sf_dir):
 
 @query
 def r1_stacked_deciles(spark, sf_dir):
-    report = reports.spend_by_decile(survey(spark, sf_dir), Workspace(spark), "public")
+    report = reports.spend_by_decile(survey(spark, sf_dir), session_space(spark), "public")
     return rounded(report.stacked(["media_renda", "media_gasto"]))
 
 
@@ -604,12 +604,12 @@ def r3_perception(spark, sf_dir):
 
 @query
 def r4_fuel_spend(spark, sf_dir):
-    return rounded(reports.spend_by_decile(survey(spark, sf_dir), Workspace(spark)).table)
+    return rounded(reports.spend_by_decile(survey(spark, sf_dir), session_space(spark)).table)
 
 
 @query
 def r5_public_transport_spend(spark, sf_dir):
-    return rounded(reports.spend_by_decile(survey(spark, sf_dir), Workspace(spark), "public").table)
+    return rounded(reports.spend_by_decile(survey(spark, sf_dir), session_space(spark), "public").table)
 
 
 @query

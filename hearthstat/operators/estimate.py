@@ -50,7 +50,8 @@ def point_estimates(
     """Estimates without errors, all in one pass; a measure may hold for a subset only.
 
     A measure is ``(stat, column)`` or ``(stat, column, condition)``.  A subset without
-    rows has total 0 and mean NULL.  ``rollup`` adds sub-totals and ``level``, the number
+    rows has total 0 and mean NULL; where a condition is unknown for a row, so is the
+    estimate, unless ``na_rm``.  ``rollup`` adds sub-totals and ``level``, the number
     of ``by`` columns a row sums over as a bit mask.
     """
     w = F.col(design.weight)
@@ -64,7 +65,7 @@ def point_estimates(
         else:
             value = F.coalesce(weighted, F.lit(0.0))
         if not na_rm:
-            value = F.when(F.count_if(inside & y.isNull()) == 0, value)
+            value = F.when(F.count_if(inside.isNull() | (inside & y.isNull())) == 0, value)
         out.append(value.alias(name))
     if rollup:
         return design.df.rollup(*by).agg(F.grouping_id().alias("level"), *out)
@@ -95,15 +96,17 @@ def svy_estimates(
         F.count(F.lit(1)).alias("_n"),
         *[c for i in range(len(stats)) for c in _stratum_spread(i)],
     )
+    absent = F.lit(0)
     if domain:
-        strata, all_psus = _with_all_psus(strata, design)
+        strata, all_psus, lonely = _with_all_psus(strata, design)
+        absent = lonely - F.count_if(F.col("_nf") == 1)
     else:
         strata, all_psus = strata.withColumn("_nf", F.col("_n")), F.sum("_n")
     columns = []
     for i, name in enumerate(measures):
         estimate = F.max(f"_est{i}")
         columns.append(estimate.alias(name))
-        columns.append(F.when(estimate.isNotNull(), F.sqrt(_variance(i))).alias(f"{name}_se"))
+        columns.append(F.when(estimate.isNotNull(), F.sqrt(_variance(i, absent))).alias(f"{name}_se"))
     if with_df:
         columns.append((all_psus - F.count(F.lit(1))).alias("df"))
     if domain and design.lonely_psu == "adjust":
@@ -177,8 +180,8 @@ def _stratum_spread(i: int) -> list[Column]:
     ]
 
 
-def _with_all_psus(strata: DataFrame, design: Design) -> tuple[DataFrame, Column]:
-    """Strata with the number of PSUs in the whole table, and that number over all strata."""
+def _with_all_psus(strata: DataFrame, design: Design) -> tuple[DataFrame, Column, Column]:
+    """Strata with their PSUs in the whole table; all its PSUs, and its strata of one PSU."""
     every = (
         design.df.groupBy(design.strata, design.psu)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -186,7 +189,8 @@ def _with_all_psus(strata: DataFrame, design: Design) -> tuple[DataFrame, Column
         .agg(F.count(F.lit(1)).alias("_nf"))
     )
     joined = strata.join(every, same(strata, every, ["_h"], ["_hf"]))
-    return joined, F.lit(every.agg(F.sum("_nf")).scalar())
+    whole = every.agg(F.sum("_nf").alias("psus"), F.count_if(F.col("_nf") == 1).alias("lonely"))
+    return joined, F.lit(whole.select("psus").scalar()), F.lit(whole.select("lonely").scalar())
 
 
 def _recentred(strata: DataFrame, all_psus: Column, stats) -> DataFrame:
@@ -196,10 +200,14 @@ def _recentred(strata: DataFrame, all_psus: Column, stats) -> DataFrame:
     return whole.withColumns({f"_c{i}": F.col(f"_est{i}") / F.col("_all") for i in totals})
 
 
-def _variance(i: int) -> Column:
-    """Sum over strata; PSUs of the design without rows count as zeros."""
+def _variance(i: int, absent: Column) -> Column:
+    """Sum over strata; PSUs of the design without rows count as zeros.
+
+    ``absent`` strata of one PSU have no row in the group: each deviates by the centre.
+    """
     n, full, z = F.col("_n"), F.col("_nf"), F.col(f"_sz{i}")
     squares = (n - 1) * F.col(f"_v{i}") + z * z / n * (1.0 - n / full)
     alone = z - F.col(f"_c{i}")
     spread = full / F.nullif(full - 1, F.lit(0))
-    return F.sum(F.when(full > 1, spread * squares).otherwise(alone * alone))
+    present = F.sum(F.when(full > 1, spread * squares).otherwise(alone * alone))
+    return present + absent * F.pow(F.max(f"_c{i}"), F.lit(2.0))

@@ -60,14 +60,17 @@ def calibrated_cells(
     """``(within, by, column, freq, calibrated)``: plain and post-stratified weight sums.
 
     Calibration inside a ``within`` level scales weights by one factor per post-stratum,
-    so the rows are read once and everything else happens on these few sums.
+    so the rows are read once and everything else happens on these few sums.  Rows
+    without a post-stratum belong to none: their calibrated weight is NULL, as in
+    ``post_stratify``.
     """
     cells = design.df.groupBy(within, by, column).agg(
         F.sum(design.weight).alias("freq"), F.sum(population).alias("_n")
     )
     stratum = Window.partitionBy(within, by)
     factor = F.sum("_n").over(stratum) / F.sum("freq").over(stratum)
-    return cells.select(within, by, column, "freq", (F.col("freq") * factor).alias("calibrated"))
+    calibrated = F.when(F.col(by).isNotNull(), F.col("freq") * factor).alias("calibrated")
+    return cells.select(within, by, column, "freq", calibrated)
 
 
 def calibrated_table(design: Design, column: str, within: str, **options) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.items import HOUSEHOLD_KEYS, ids_to_string
 from ..workspace import same
@@ -44,8 +44,8 @@ def first_per_household(
     items: DataFrame, keep: Sequence[str], keys=HOUSEHOLD_KEYS, order=FIRST_ROW_ORDER
 ) -> DataFrame:
     """The kept columns of each household's first row in ``order``."""
-    first = items.groupBy(*keys).agg(_first(keep, keys, order).alias("_first"))
-    return first.select(*keys, *[_kept(c) for c in keep if c not in keys])
+    firsts, kept = _first(items, keep, keys, order)
+    return items.groupBy(*keys).agg(*firsts).select(*keys, *kept)
 
 
 def household_base(
@@ -59,13 +59,12 @@ def household_base(
     """Household total and first row in one shuffle.
 
     Both parts merge before the shuffle, so a household with very many items
-    sends one row per map task.
+    sends one row per map task.  With one numeric ``order`` column and numbers to keep
+    they merge by hash; any other order or kept column makes Spark sort first.
     """
-    grouped = items.groupBy(*keys).agg(
-        _total(value, quirk_plus_one).alias("gasto_total"),
-        _first(keep, keys, order).alias("_first"),
-    )
-    return grouped.select(*keys, "gasto_total", *[_kept(c) for c in keep if c not in keys])
+    firsts, kept = _first(items, keep, keys, order)
+    grouped = items.groupBy(*keys).agg(_total(value, quirk_plus_one).alias("gasto_total"), *firsts)
+    return grouped.select(*keys, "gasto_total", *kept)
 
 
 def _total(value: str, quirk_plus_one: bool) -> Column:
@@ -73,14 +72,16 @@ def _total(value: str, quirk_plus_one: bool) -> Column:
     return total + 1.0 if quirk_plus_one else total
 
 
-def _first(keep, keys, order) -> Column:
+def _first(items: DataFrame, keep, keys, order) -> tuple[list[Column], list[Column]]:
+    """Aggregates for each household's first row, and how to name what they keep."""
+    keep = [c for c in keep if c not in keys]
+    if len(order) == 1 and isinstance(items.schema[order[0]].dataType, T.NumericType):
+        # One number that differs between the rows of a household: no struct to compare.
+        return [F.min_by(c, order[0]).alias(f"_first_{c}") for c in keep], [F.col(f"_first_{c}").alias(c) for c in keep]
     # Kept values follow the order columns, so ties resolve the same way in every run.
     sort = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
-    return F.min(F.struct(*sort, *[F.col(c) for c in keep if c not in keys]))
-
-
-def _kept(column: str) -> Column:
-    return F.col(f"_first.{column}").alias(column)
+    first = F.min(F.struct(*sort, *[F.col(c) for c in keep])).alias("_first")
+    return [first], [F.col(f"_first.{c}").alias(c) for c in keep]
 
 
 def with_post_strata(
@@ -90,8 +91,8 @@ def with_post_strata(
 
     NULL keys match each other unless ``null_safe`` is off; plain equality lets Spark
     reuse a partitioning by the same keys.  A key that occurs twice in ``ps`` would
-    multiply households, so it raises.  Spark sizes the join: the lookup is broadcast
-    only if it proves small.
+    multiply households, so it raises, at once, whatever is read of the result.  Spark
+    sizes the join: the lookup is broadcast only if it proves small.
     """
     keys = list(on) if on is not None else [c for c in df.columns if c in ps.columns]
     if not keys:
@@ -101,21 +102,13 @@ def with_post_strata(
     mixed = [k for k in keys if "string" in (ours[k], theirs[k]) and ours[k] != theirs[k]]
     if mixed:
         df, ps = ids_to_string(df, mixed), ids_to_string(ps, mixed)
-    extra = [c for c in ps.columns if c not in keys]
-    if extra:
-        lookup = ps.groupBy(*keys).agg(*[_single(F.min(c), keys).alias(c) for c in extra])
-    else:
-        once = ps.groupBy(*keys).agg(_single(F.lit(1), keys).alias("_once"))
-        lookup = once.filter(F.col("_once") == 1).drop("_once")
+    matched = ps if null_safe else ps.dropna(subset=keys)
+    twice = matched.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    if not twice.isEmpty():
+        raise ValueError(f"post-strata have more than one row for the same {', '.join(keys)}")
     if not null_safe:
-        return df.join(lookup, keys)
-    renamed = lookup.withColumnsRenamed({k: f"_ps_{k}" for k in keys})
+        return df.join(ps, keys)
+    renamed = ps.withColumnsRenamed({k: f"_ps_{k}" for k in keys})
     other = [f"_ps_{k}" for k in keys]
     return df.join(renamed, same(df, renamed, keys, other)).drop(*other)
 
-
-def _single(value: Column, keys) -> Column:
-    duplicate = F.raise_error(
-        F.lit(f"post-strata have more than one row for the same {', '.join(keys)}")
-    )
-    return F.when(F.count(F.lit(1)) == 1, value).otherwise(duplicate)

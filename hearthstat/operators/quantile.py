@@ -12,7 +12,9 @@ Spark has no percentile for fractional weights.  Sorting all rows is avoided:
    the answer.
 
 The answer is exact for every distribution; the cells only decide how much work each
-task gets.  No group, hot or not, is gathered in one task.
+task gets.  No group, hot or not, is gathered in one task: refinement goes on until every
+cell is small or holds one value, for any number of groups.  The smallest and largest value
+of a cell never share a finer one, so each refinement makes cells smaller.
 """
 
 from __future__ import annotations
@@ -23,14 +25,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..workspace import Workspace, hint_if, local_if_small, local_rows, same
+from ..workspace import hint_if, local_if_small, local_rows, same, session_space
 from .design import Design
 
 # Cells per doubling of |x| + 1, equal-width cells of a refinement, rows a task may sort.
 CELLS_PER_OCTAVE = 128
 CELLS_PER_REFINEMENT = 4096
 ROWS_PER_CELL = 1_000_000
-MAX_REFINEMENTS = 6
 
 # Relative tolerance of cumulative weight >= p * total.
 RTOL = 1e-12
@@ -53,7 +54,9 @@ def svy_quantile(
     Several ``cols`` are handled in the same passes and named in ``variable``.
     ``probs`` is a list for every group, or a table of group columns, ``p`` and any
     further columns, which are kept in the result.  A NULL value makes the quantiles
-    of its group NULL unless ``na_rm``; a NULL group is a group.
+    of its group NULL unless ``na_rm``; a NULL group is a group.  NaN counts as NULL.
+    A probability asked twice is answered twice; without groups every probability has
+    a row, NULL for a table without rows.
 
     Stage ``design.df`` first if it is costly to compute: it is read once per step.
     """
@@ -70,27 +73,47 @@ def svy_quantile(
     )
     one_group = not groups and not isinstance(probs, DataFrame)
     found, rows = _evaluated(_first_cells(cells, groups, probs, na_rm, rtol), one_group)
-    for _ in range(MAX_REFINEMENTS):
-        if rows is not None and not _still_large(rows, rows_per_cell):
-            break
-        bounds = _bounds(found, rows, groups)
-        finer = _refine(long, found, bounds, groups, rows is not None, rtol)
-        if rows is None:
-            # Too many groups to inspect here: one refinement, then the last step.
-            found, _ = _evaluated(finer)
-            break
-        found, rows = _evaluated(finer, proven=True)
     small = rows is not None
+    while _still_large(found, rows, rows_per_cell):
+        bounds = _bounds(found, rows, groups)
+        finer = _refine(long, found, bounds, groups, small, rtol)
+        # As many cells as before: what was local stays local, what was not is written again.
+        found, rows = _evaluated(finer, proven=small, staged=not small)
     bounds = _bounds(found, rows, groups)
     answers = _last_values(long, found, bounds, groups, small, rtol)
+    if one_group:
+        return _in_order(answers, probs)
+    if not isinstance(probs, DataFrame):
+        answers = _repeated(answers, probs)
     return local_if_small(answers, proven=True)[0] if small else answers
 
 
-def _evaluated(found: DataFrame, proven: bool = False) -> tuple[DataFrame, pa.Table | None]:
+def _in_order(answers: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """One row for each probability asked for, in its order."""
+    values = {r["p"]: r["quantile"] for r in answers.collect()}
+    rows = [(float(p), values.get(float(p))) for p in probs]
+    return answers.sparkSession.createDataFrame(rows, "p double, quantile double")
+
+
+def _repeated(answers: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Answers to probabilities asked for several times, as often."""
+    times = {float(p): list(probs).count(p) for p in probs}
+    for p, n in times.items():
+        if n > 1:
+            copies = F.when(F.col("p") == p, n).otherwise(1)
+            answers = answers.withColumn("_k", F.explode(F.sequence(F.lit(1), copies))).drop("_k")
+    return answers
+
+
+def _evaluated(
+    found: DataFrame, proven: bool = False, staged: bool = False
+) -> tuple[DataFrame, pa.Table | None]:
     """A local table, or one written to the shared folder when the groups are too many."""
-    found, rows = local_rows(found, proven=proven)
+    rows = None
+    if not staged:
+        found, rows = local_rows(found, proven=proven)
     if rows is None:
-        found = Workspace(found.sparkSession).stage(found, "quantile_cells")
+        found = session_space(found.sparkSession).stage(found, "quantile_cells")
     return found, rows
 
 
@@ -98,19 +121,24 @@ def _long(design: Design, cols, by: list[str]) -> DataFrame:
     """Group columns, value, its first-step cell, and weight."""
     w = F.col(design.weight).cast("double").alias("_w")
     if isinstance(cols, str):
-        x = F.col(cols).cast("double")
+        x = _number(cols)
         return design.df.select(*by, x.alias("_x"), _log_cell(x).alias("_cell"), w)
     values = [
         F.struct(
             F.lit(c).alias("variable"),
-            F.col(c).cast("double").alias("_x"),
-            _log_cell(F.col(c).cast("double")).alias("_cell"),
+            _number(c).alias("_x"),
+            _log_cell(_number(c)).alias("_cell"),
         )
         for c in cols
     ]
     return design.df.select(*by, w, F.inline(F.array(*values)))
 
 
+def _number(column: str) -> Column:
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _log_cell(x: Column) -> Column:
     # Never decreasing in x; NULL stays NULL, infinities land in the outermost cells.
     steps = F.floor(F.least(F.log2(F.abs(x) + 1.0), F.lit(1100.0)) * CELLS_PER_OCTAVE)
@@ -118,7 +146,8 @@ def _log_cell(x: Column) -> Column:
 
 
 def _linear_cell(x: Column, lo: Column, hi: Column) -> Column:
-    share = F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(0.0)
+    # Halves, since the distance of two doubles may be larger than any double.
+    share = F.when(hi > lo, (x / 2 - lo / 2) / (hi / 2 - lo / 2)).otherwise(0.0)
     return F.floor(F.nanvl(share, F.lit(1.0)) * CELLS_PER_REFINEMENT).cast("int")
 
 
@@ -164,7 +193,9 @@ def _with_probs(cells: DataFrame, groups, probs) -> tuple[DataFrame, list[str]]:
     return joined.drop(*other), own
 
 
-def _still_large(rows: pa.Table, rows_per_cell: int) -> bool:
+def _still_large(found: DataFrame, rows: pa.Table | None, rows_per_cell: int) -> bool:
+    if rows is None:
+        return not found.filter((F.col("_lo") < F.col("_hi")) & (F.col("_n") > rows_per_cell)).isEmpty()
     cells = rows.filter(pc.less(rows["_lo"], rows["_hi"]))
     return bool(pc.any(pc.greater(cells["_n"], rows_per_cell)).as_py())
 

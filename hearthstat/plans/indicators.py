@@ -21,7 +21,7 @@ from ..functions.thresholds import attach_threshold, gap, is_below
 from ..operators.design import Design
 from ..operators.estimate import point_estimates, svy_estimates
 from ..operators.frequency import calibrated_cells, crosstab, freq, mean_by, svy_table
-from ..operators.household import FIRST_ROW_ORDER, household_base, with_post_strata
+from ..operators.household import FIRST_ROW_ORDER, household_base, na_sum, with_post_strata
 from ..operators.quantile import quantile_values, svy_quantile
 from ..workspace import Workspace
 
@@ -109,16 +109,17 @@ def cuts_and_median(design: Design) -> tuple[list[float | None], float | None]:
 
 
 def by_decile(table: DataFrame, national: bool = False, zero: Sequence[str] = ()) -> DataFrame:
-    """Ten (or eleven) ordered rows whatever deciles the sample has; ``zero`` defaults to 0.
+    """Ten (or eleven) ordered rows whatever deciles the sample has.
+
+    ``zero`` columns are 0 in deciles without rows; what is unknown stays NULL.
 
     ``table`` is grouped by decile, so it has twelve rows at most and is broadcast; the
     dimension is one partition, so its order is the report's order.
     """
     rows = decile_dim(table.sparkSession, national).select("decil")
-    full = rows.join(F.broadcast(table), "decil", "left")
-    if zero:
-        full = full.fillna(0.0, subset=list(zero))
-    return full.sortWithinPartitions("decil")
+    full = rows.join(F.broadcast(table.withColumn("_there", F.lit(True))), "decil", "left")
+    filled = {c: F.when(F.col("_there").isNull(), F.lit(0.0)).otherwise(F.col(c)) for c in zero}
+    return full.withColumns(filled).drop("_there").sortWithinPartitions("decil")
 
 
 def national_table(estimates: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -197,6 +198,10 @@ class TransportBase:
     median: float | None
     quirks: str
 
+    def counted(self, columns: Sequence[str]) -> Sequence[str]:
+        """Columns that are 0 where no family is below: none if the median is unknown."""
+        return columns if self.median is not None else ()
+
     def below_half(self) -> Design:
         """Families below half the median spend, with their shortfall ``valor_total``."""
         rows = attach_threshold(self.design.df, self.median)
@@ -311,7 +316,7 @@ def half_median_detail(base: TransportBase) -> Report:
     }
     national = national_table(svy_estimates(poor, means), list(means))
     return Report(
-        by_decile(table.join(F.broadcast(medians), "decil"), zero=["familias"]).select(
+        by_decile(table.join(F.broadcast(medians), "decil"), zero=base.counted(["familias"])).select(
             "decil", *sheets.values()
         ),
         sheets,
@@ -322,12 +327,10 @@ def half_median_detail(base: TransportBase) -> Report:
 
 def half_median_totals(base: TransportBase) -> Report:
     """Total shortfall to half the median spend, per decile and as an eleventh row."""
-    sums = point_estimates(
-        base.below_half(), {"extrapolacao": ("total", "valor_total")}, ["decil"], rollup=True
-    )
-    # Families without a decile count in the national row only.
-    code = F.when(F.col("level") == 1, NATIONAL).otherwise(F.col("decil")).alias("decil")
-    table = sums.select(code, "extrapolacao").dropna(subset=["decil"])
-    return Report(
-        by_decile(table, national=True, zero=["extrapolacao"]), {"Resultado_1": "extrapolacao"}
-    )
+    sums = point_estimates(base.below_half(), {"extrapolacao": ("total", "valor_total")}, ["decil"])
+    # The national row adds the twelve sums; families without a decile count there only.
+    codes = F.explode(F.array("decil", F.lit(NATIONAL))).alias("decil")
+    table = sums.select(codes, "extrapolacao").dropna(subset=["decil"])
+    table = table.groupBy("decil").agg(na_sum("extrapolacao").alias("extrapolacao"))
+    zero = base.counted(["extrapolacao"])
+    return Report(by_decile(table, national=True, zero=zero), {"Resultado_1": "extrapolacao"})

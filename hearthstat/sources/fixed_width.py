@@ -1,4 +1,4 @@
-"""Fixed-width text in and out, as a projection over Spark's text source."""
+"""Fixed-width text as a projection over Spark's text source."""
 
 from __future__ import annotations
 
@@ -33,10 +33,34 @@ def read_fwf(
     return lines.select(*columns)
 
 
+def field_problems(
+    spark: SparkSession, path, layout: list[Field], na_strings: tuple[str, ...] = ()
+) -> DataFrame:
+    """``(field, n_missing, n_unreadable)``: blank or marked fields, and text that is no number.
+
+    ``read_fwf`` makes both NULL; this pass over the lines tells them apart.
+    """
+    lines = spark.read.text(path)
+    counts = []
+    for f in layout:
+        text = _text(F.col("value"), f, na_strings)
+        counts.append(F.count_if(text.isNull()).alias(f"m_{f.name}"))
+        counts.append(F.count_if(text.isNotNull() & text.try_cast(f.dtype).isNull()).alias(f"u_{f.name}"))
+    rows = [
+        F.struct(F.lit(f.name).alias("field"), F.col(f"m_{f.name}").alias("n_missing"), F.col(f"u_{f.name}").alias("n_unreadable"))
+        for f in layout
+    ]
+    return lines.agg(*counts).select(F.inline(F.array(*rows)))
+
+
 def _field(line: Column, field: Field, na_strings: tuple[str, ...]) -> Column:
+    return _text(line, field, na_strings).try_cast(field.dtype).alias(field.name)
+
+
+def _text(line: Column, field: Field, na_strings: tuple[str, ...]) -> Column:
     raw = F.substring(line, field.start, field.width)
     text = F.nullif(F.trim(raw), F.lit(""))
     for marker in na_strings:
         if marker.strip():
             text = F.nullif(text, F.lit(marker.strip()))
-    return text.try_cast(field.dtype).alias(field.name)
+    return text

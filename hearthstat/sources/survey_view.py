@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 HOUSEHOLD = ("household",)
-ITEM_ORDER = (
+ITEM_COLUMNS = (
     "l_orderkey",
     "l_linenumber",
     "l_partkey",
@@ -17,6 +17,12 @@ ITEM_ORDER = (
     "l_shipdate",
     "l_extendedprice",
 )
+# The first four columns are unique; as one number they order items without a sort.
+ITEM_ORDER = ("item_order",)
+_ITEM_ORDER = (
+    f"cast(l_orderkey as decimal(13)) * {10**24}BD + cast(l_linenumber as decimal(3)) * {10**21}BD"
+    f" + cast(l_partkey as decimal(12)) * {10**9}BD + l_suppkey"
+)
 
 VIEW_FUEL = tuple(range(2300001, 2300006))
 VIEW_PUBLIC = tuple(range(2300006, 2300038))
@@ -65,7 +71,7 @@ def expense_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
     families = _table(spark, sf_dir, "customer").select("c_custkey", *_named(_FAMILY))
     return (
-        lines.select(*ITEM_ORDER, *_named(_ITEM))
+        lines.select(*ITEM_COLUMNS, *_named(_ITEM | {"item_order": _ITEM_ORDER}))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(families, F.col("o_custkey") == F.col("c_custkey"))
         .withColumnRenamed("o_custkey", "household")

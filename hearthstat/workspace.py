@@ -7,6 +7,7 @@ so later passes are column-pruned scans that survive the loss of any executor.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -47,6 +48,27 @@ class Workspace:
         self.close()
 
 
+_session_spaces: dict[str, Workspace] = {}
+
+
+def session_space(spark: SparkSession) -> Workspace:
+    """A workspace for what outlives the call that made it; deleted when the process ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _session_spaces:
+        _session_spaces[application] = Workspace(spark)
+        atexit.register(close_session_space, spark)
+    return _session_spaces[application]
+
+
+def close_session_space(spark: SparkSession) -> None:
+    """Delete the session's workspace now; tables in it must no longer be used."""
+    if spark.sparkContext._jsc is None:
+        return
+    space = _session_spaces.pop(spark.sparkContext.applicationId, None)
+    if space is not None:
+        space.close()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Adaptive settings the joins rely on when one key holds much of the data.
 

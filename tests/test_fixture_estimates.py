@@ -95,8 +95,8 @@ def test_domain_keeps_empty_psus(design):
     subset = one(svy_total(design, "gasto", where=here))
     domain = one(svy_total(design, "gasto", where=here, domain=True))
     assert subset.estimate == domain.estimate == 40
-    # Stratum A: PSU sums 40 and 0; stratum B has no row in the domain.
-    assert domain.se == pytest.approx((2 / 1 * (20**2 + 20**2)) ** 0.5)
+    # Stratum A: PSU sums 40 and 0; stratum B, of one PSU, is 0 against a mean of 40 / 3.
+    assert domain.se == pytest.approx((2 / 1 * (20**2 + 20**2) + (40 / 3) ** 2) ** 0.5)
 
 
 def test_design_check(spark, design):

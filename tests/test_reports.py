@@ -110,7 +110,8 @@ def test_a_missing_amount_spoils_the_median(spark, space):
     )
     base = reports.transport_base(Survey(items=items, post_strata=post_strata(spark)), space)
     assert base.median is None
-    assert all(r.familias == 0 for r in rows(reports.half_median_detail(base)).values())
+    assert all(r.familias is None for r in rows(reports.half_median_detail(base)).values())
+    assert all(r.extrapolacao is None for r in rows(reports.half_median_totals(base)).values())
 
 
 def test_sheets_are_written(spark, survey, space, tmp_path):
