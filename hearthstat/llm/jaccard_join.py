@@ -68,8 +68,12 @@ class Orders:
     """Global orders of all n-grams: by class of frequency, then by a hash of their own."""
 
     def __init__(self, counters: np.ndarray):
-        unit = max(1.0, 2 * counters.mean())
-        self.classes = np.log2(np.maximum(1, counters / unit)).astype(np.uint8)
+        # Other n-grams in the same counter add a usual amount with a usual spread; half
+        # octaves of what exceeds both tell frequencies apart.
+        usual = float(np.median(counters))
+        spread = max(1.0, usual**0.5)
+        excess = np.maximum(counters - usual - 2 * spread, 0) / spread
+        self.classes = np.minimum(2 * np.log2(1 + excess), 63).astype(np.uint8)
 
     def prefix(self, grams: np.ndarray, order: int, length: int) -> np.ndarray:
         """The first ``length`` n-grams, first one first."""
