@@ -291,6 +291,8 @@ def _valued(top: np.ndarray):
 
     def value(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
+        if not left.num_rows:  # none of these chunks has the bucket
+            return pa.Table.from_batches([_batch([], ("chunk", "bucket", "keys", "values"))])
         known = _keys(bucket, right.column("keys")[0].as_py()) if right.num_rows else np.zeros(0, np.int64)
         counts = np.frombuffer(right.column("counts")[0].as_py(), "<i8") if right.num_rows else known
         chunks, raw = left.column("chunk").to_pylist(), left.column("keys").to_pylist()
