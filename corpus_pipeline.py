@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthstat.llm import decontaminate, jaccard_join, packing, quality, suffix_dedup
 from hearthstat.llm.queries import VOCABULARY, table
-from hearthstat.llm.staging import staged
+from hearthstat.llm.staging import small_batches, staged
 from hearthstat.workspace import configure
 
 ORACLE_SQL = None
@@ -52,12 +54,20 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path(VOCABULARY), with_crc32=True, with_ids=False))
 
 
+def _stage(function):
+    @functools.wraps(function)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return function(small_batches(configure(spark)), docs, sf_dir)
+
+    return stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_copies),
-    ("suffix-array dedup", repeated_passages),
-    ("benchmark decontamination", benchmark_leaks),
-    ("best-fit packing", packed),
+    ("quality rules", _stage(quality_rules)),
+    ("n-gram Jaccard join", _stage(near_copies)),
+    ("suffix-array dedup", _stage(repeated_passages)),
+    ("benchmark decontamination", _stage(benchmark_leaks)),
+    ("best-fit packing", _stage(packed)),
 ]
 
 

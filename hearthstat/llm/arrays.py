@@ -51,15 +51,15 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64, kept for the next call."""
     known = _powers.get(base)
     if known is None or len(known) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, SLICE_BYTES + 1024)
         out = np.ones(size, np.uint64)
         if size > 1:
             out[1:] = np.uint64(base)
             with np.errstate(over="ignore"):
                 np.multiply.accumulate(out, out=out)
-        _powers[base] = known = out
-        if n > 8 * SLICE_BYTES:  # a very long text: don't hold on to its powers
-            del _powers[base]
+        known = out
+        if size <= 2 * SLICE_BYTES:  # powers for longer texts are not held
+            _powers[base] = out
     return known[:n]
 
 

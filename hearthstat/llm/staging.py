@@ -12,6 +12,13 @@ from hearthstat.workspace import Workspace
 _spaces: dict[str, Workspace] = {}
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Hand texts to Python in batches of a few MB, so that a worker's memory stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return spark
+
+
 def workspace(spark: SparkSession) -> Workspace:
     """This session's sub-folder of ``spark.checkpoint.dir``, deleted at the end of the process."""
     application = spark.sparkContext.applicationId
