@@ -146,6 +146,16 @@ def national(src: str, y: str, stat: str, digits: int, se_digits: int) -> str:
     return f"SELECT round(estimate, {digits}) AS estimate, round(se, {se_digits}) AS se FROM res"
 
 
+def national_rows(*measures: tuple[str, str, str, str, str]) -> str:
+    """``(measure, estimate, se)`` of (name, CTEs, table, column, statistic)."""
+    parts = [
+        f"(SELECT '{name}' AS measure, round(estimate, 2) AS estimate, round(se, 0) AS se FROM ("
+        f"{q(f'{ctes}, {errors(src, y, stat)}', 'SELECT estimate, se FROM res')}))"
+        for name, ctes, src, y, stat in measures
+    ]
+    return "\nUNION ALL\n".join(parts)
+
+
 def decile_mean(codes: str, y: str) -> str:
     return q(
         f"{with_deciles(codes)}, {errors('(SELECT * FROM dec WHERE decil IS NOT NULL)', y, 'mean', 'decil')}",
@@ -481,6 +491,41 @@ def oracle_sql() -> dict[str, str]:
         FROM dim LEFT JOIN poor USING (decil) LEFT JOIN mg USING (decil) LEFT JOIN md USING (decil)
         GROUP BY 1""",
     )
+    sql["r6_national"] = national_rows(
+        ("familias", TRANSPORT, "dec", "1.0", "total"),
+        ("familias_abaixo", BELOW, "low", "1.0", "total"),
+        ("gasto_medio_abaixo", BELOW, "low", "gasto_total", "mean"),
+    )
+    sql["r7_national"] = national_rows(
+        ("media_dif", BELOW, "low", "gap", "mean"), ("total_dif", BELOW, "low", "gap", "total")
+    )
+    sql["r8_national"] = national_rows(
+        ("familias", POOR, "poor", "1.0", "total"),
+        ("gasto_medio", POOR, "poor", "gasto_total", "mean"),
+        ("dif_media", POOR, "poor", "gap", "mean"),
+    )
+    sql["r8_national_medians"] = q(
+        f"{POOR}, {quantile('hg', 'poor', 'gasto_total', MEDIAN)}, {quantile('hd', 'poor', 'gap', MEDIAN)}",
+        "SELECT round(hg.q, 4) AS gasto_mediano, round(hd.q, 4) AS dif_mediana FROM hg CROSS JOIN hd",
+    )
+    sql["e4_null_post_strata"] = q(
+        f"""{CONDITIONS_DEC}, known AS (SELECT * FROM dec WHERE household % 7 <> 0),
+        ratio AS (SELECT v61058, pos_estrato, sum(peso_final) / sum(peso) AS r FROM known GROUP BY 1, 2),
+        weighed AS (SELECT v61058, decil, sum(peso * r) AS freq FROM known JOIN ratio USING (v61058, pos_estrato)
+          WHERE decil IS NOT NULL AND v61058 IS NOT NULL GROUP BY 1, 2)""",
+        "SELECT v61058, decil, round(freq, 4) AS freq, round(freq, 4) AS two_steps FROM weighed",
+    )
+    sql["r8_unknown_amount"] = q(
+        f"{ITEMS}, {DIM}, lost AS (SELECT count(*) AS n FROM items WHERE household = 1 AND v9001 IN ({CODES['all']}))",
+        """SELECT decil, CAST(CASE WHEN n = 0 THEN 0 END AS DOUBLE) AS familias, CAST(NULL AS DOUBLE) AS gasto_medio,
+          CAST(CASE WHEN n = 0 THEN 0 END AS DOUBLE) AS extrapolacao FROM dim CROSS JOIN lost""",
+    )
+    sql["s3_field_problems"] = q(
+        ITEMS,
+        """SELECT 'v9011' AS field, count(*) - count(v9011) AS n_missing, 0 AS n_unreadable FROM items
+        UNION ALL SELECT 'deflator', count(*) - count(deflator), count(deflator) FROM items
+        UNION ALL SELECT 'v9001', 0, 0 FROM items HAVING count(*) > 0""",
+    )
     sql["r9_half_median_totals"] = q(f"{POOR}, {DIM}", totals)
     return {name: text.replace("round(", f"round({OFFSET} + ") for name, text in sql.items()}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -635,3 +636,62 @@ def r8_half_median(spark, sf_dir):
 @query
 def r9_half_median_totals(spark, sf_dir):
     return rounded(reports.half_median_totals(transport(spark, sf_dir)).table, 3)
+
+
+# National figures ---------------------------------------------------------------------
+
+
+def national(report: reports.Report) -> DataFrame:
+    return rounded(report.national, 2, se=0)
+
+
+@query
+def r6_national(spark, sf_dir):
+    return national(reports.families_below_decile_median(transport(spark, sf_dir)))
+
+
+@query
+def r7_national(spark, sf_dir):
+    return national(reports.gap_to_decile_median(transport(spark, sf_dir)))
+
+
+@query
+def r8_national(spark, sf_dir):
+    return national(reports.half_median_detail(transport(spark, sf_dir)))
+
+
+@query
+def r8_national_medians(spark, sf_dir):
+    return rounded(reports.half_median_detail(transport(spark, sf_dir)).extra["medianas"])
+
+
+@query
+def e4_null_post_strata(spark, sf_dir):
+    """Calibrated frequencies in one pass and in two, where some post-strata are missing."""
+    rows = perception_rows(spark, sf_dir)
+    known = F.when(F.col("household") % 7 != 0, F.col("pos_estrato"))
+    design = Design(rows.withColumn("pos_estrato", known))
+    one = frequency.calibrated_table(design, "decil", "v61058").select("v61058", "decil", "freq")
+    two = post_stratify(design, within=["v61058"])
+    two = frequency.svy_table(two, ["v61058", "decil"]).withColumnRenamed("freq", "two_steps")
+    return rounded(one.join(two, ["v61058", "decil"], "left"))
+
+
+@query
+def r8_unknown_amount(spark, sf_dir):
+    """Half-median detail and totals where one amount is missing: unknown, not 0."""
+    s = survey(spark, sf_dir)
+    lost = F.when(F.col("household") != 1, F.col("v8000_defla"))
+    s = replace(s, items=s.items.withColumn("v8000_defla", lost))
+    base = reports.transport_base(s, session_space(spark))
+    totals = reports.half_median_totals(base).table.withColumnRenamed("decil", "d")
+    detail = reports.half_median_detail(base).table.select("decil", "familias", "gasto_medio")
+    return rounded(detail.join(totals, F.col("decil") == F.col("d")).drop("d"))
+
+
+@query
+def s3_field_problems(spark, sf_dir):
+    path = expense_file(spark, sf_dir)
+    wrong = [layouts.Field(f.name, f.start, f.width, "int") if f.name == "deflator" else f for f in layouts.INDIVIDUAL_EXPENSES]
+    found = fixed_width.field_problems(spark, path, wrong)
+    return found.filter(F.col("field").isin("v9011", "deflator", "v9001"))

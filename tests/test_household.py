@@ -94,5 +94,18 @@ def test_post_strata_must_be_unique(spark, items):
     base = household_base(items, **OPTIONS)
     with pytest.raises(Exception, match="more than one row for the same cod_upa"):
         with_post_strata(base, ps).collect()
+    with pytest.raises(ValueError, match="more than one row"):
+        with_post_strata(base, ps).count()
     with pytest.raises(ValueError, match="share no column"):
         with_post_strata(base, ps.withColumnRenamed("cod_upa", "other"))
+
+
+def test_no_sort_before_the_first_row(spark):
+    """One numeric order column and numbers to keep: hash aggregation from end to end."""
+    for order in ("seq", "cast(seq as decimal(38,0))"):
+        items = spark.range(100).selectExpr("id % 9 as cod_upa", "id % 2 as num_dom", "1 as num_uc", "id as seq", "1.0D as gasto", "cast(id as double) as renda_anual")
+        items = items.selectExpr("cod_upa", "num_dom", "num_uc", "gasto", "renda_anual", f"{order} as ordem")
+        base = household_base(items, keep=("renda_anual",), order=("ordem",))
+        plan = base._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+        assert {r.renda_anual for r in base.collect()} == {float(i) for i in range(18)}

@@ -144,3 +144,37 @@ def test_interval_surrounds_the_quantile(spark):
     assert len(whole) == 2 and len(grouped) == 4
     for r in whole + grouped:
         assert r.ci_low < r.quantile < r.ci_high and r.se > 0
+
+
+def test_nan_counts_as_missing(spark):
+    d = frame(spark, [1.0, 2.0, float("nan"), 4.0], [1, 1, 1, 1])
+    assert svy_quantile(d, "x", [0.5]).first().quantile is None
+    assert svy_quantile(d, "x", [0.5], na_rm=True).first().quantile == 2.0
+
+
+def test_a_row_for_each_probability(spark):
+    d = frame(spark, [1.0, 2.0, 3.0], [1, 1, 1], ["a", "a", "b"])
+    assert [(r.p, r.quantile) for r in svy_quantile(d, "x", [0.5, 0.1, 0.5]).collect()] == [(0.5, 2.0), (0.1, 1.0), (0.5, 2.0)]
+    grouped = svy_quantile(d, "x", [0.5, 0.5], ["g"]).collect()
+    assert sorted((r.g, r.quantile) for r in grouped) == [("a", 1.0), ("a", 1.0), ("b", 3.0), ("b", 3.0)]
+    empty = d.on(d.df.limit(0))
+    assert [(r.p, r.quantile) for r in svy_quantile(empty, "x", [0.1, 0.5]).collect()] == [(0.1, None), (0.5, None)]
+
+
+def test_many_groups_are_refined_to_the_end(spark, monkeypatch):
+    """More groups than a local table may have, and one with many values in a small range."""
+    monkeypatch.setattr(module.local_rows, "__defaults__", (20, False))
+    rng, seen = np.random.default_rng(3), []
+    hot = 1e6 + rng.random(3000) * 1e-5
+    x, g = np.concatenate((hot, rng.random(400))), np.concatenate((np.zeros(3000), np.repeat(np.arange(1, 41), 10)))
+    refine = module._refine
+    monkeypatch.setattr(module, "_refine", lambda *a: seen.append(1) or refine(*a))
+    d = frame(spark, x, np.ones(len(x)), g.astype(int))
+    found = {r.g: r.quantile for r in svy_quantile(d, "x", [0.5], ["g"], rows_per_cell=5).collect()}
+    assert all(found[k] == brute_force(x[g == k], np.ones((g == k).sum()), [0.5])[0] for k in range(41))
+    assert len(seen) >= 1
+
+
+def test_the_widest_doubles(spark):
+    x = [-1.7e308, -1e308, 1e308, 1.7e308]
+    assert svy_quantile(frame(spark, x, [1, 1, 1, 1]), "x", [0.5], rows_per_cell=1).first().quantile == -1e308

@@ -125,3 +125,27 @@ def test_local_tables_are_size_checked(spark):
     assert small and "LocalTableScan" in local._jdf.queryExecution().toString()
     same, small = local_if_small(df, 9)
     assert not small and same is df
+
+
+def test_unreadable_is_not_blank(spark, tmp_path):
+    from hearthstat.sources.fixed_width import field_problems
+    from hearthstat.sources.layouts import Field
+
+    (tmp_path / "lines.txt").write_text("12x4\n   4\n    \nNA  \n12\n")
+    rows = field_problems(spark, str(tmp_path), [Field("a", 1, 4, "int")], na_strings=("NA",)).collect()
+    assert [tuple(r) for r in rows] == [("a", 2, 1)]
+
+
+def test_session_workspace_leaves_no_folder(spark, tmp_path, monkeypatch):
+    import os
+
+    from hearthstat import workspace
+
+    monkeypatch.setattr(workspace, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(workspace, "_session_spaces", {})
+    space = workspace.session_space(spark)
+    assert workspace.session_space(spark) is space
+    space.stage(spark.range(3), "x").count()
+    assert os.listdir(tmp_path)
+    workspace.close_session_space(spark)
+    assert not os.listdir(tmp_path)
