@@ -11,8 +11,9 @@ sketch bears only on cost, any order gives the same links.
    smallest class of that group only, and linked classes joined to components.  A group of
    near copies, of any size, thus costs one comparison for each copy and order.
 3. Candidates are the pairs of classes from different components that share a prefix n-gram
-   under the first order and under each further one, intersected before verification.  Pairs
-   inside a component need none: they cannot change components.
+   under the first order, at places that leave enough n-grams behind, and under each further
+   order, intersected before verification.  Pairs inside a component need none: they cannot
+   change components.
 4. Candidates are verified on the texts; components are joined again.
 
 N-grams are compared by 64-bit hashes of their words, A-Z lower-cased.
@@ -36,7 +37,7 @@ from .components import components
 from .staging import forget, staged
 
 K, PERCENT = 3, 90
-ORDERS = 3  # under which candidates must share a prefix n-gram
+ORDERS = 2  # under which candidates must share a prefix n-gram
 LEADS = 4  # orders whose first n-gram groups classes for step 2
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 
@@ -101,14 +102,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = staged(_verified(stars, rows, classes, orders, k, percent), "links")
     near = staged(components(links), "components")
 
-    first = prefixes.filter("ord = 0").select("token", "node", "n")
+    first = prefixes.filter("ord = 0").select("token", "node", "n", "rank")
     placed = _shared(first, "node").join(near, "node", "left")
-    placed = placed.select("token", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = placed.select("token", "node", "n", "rank", F.coalesce("component", "node").alias("component"))
     placed = staged(_shared(placed.distinct(), "component"), "candidates")
     forget(prefixes)
-    a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = _alike(a.join(b, "token").filter("a < b and ca <> cb"), percent).distinct()
+    a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"))
+    b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"))
+    # From the first common n-gram on, both sets still hold all that they share.
+    enough = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    pairs = _alike(a.join(b, "token").filter("a < b and ca <> cb").filter(enough), percent).distinct()
     pairs = staged(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     links = links.union(_verified(pairs, rows, classes, orders, k, percent))
     whole = staged(components(links), "components")
@@ -196,7 +199,7 @@ def _prefixes(rows: DataFrame, orders: Orders, k: int, percent: int) -> DataFram
                 nodes.append(np.full(m, _node(grams)[0]))
                 sizes.append(np.full(m, n))
                 order.append(np.concatenate((np.zeros(length), np.arange(1, LEADS))))
-                rank.append(np.concatenate((np.minimum(np.arange(length), 1), np.zeros(LEADS - 1))))
+                rank.append(np.concatenate((np.arange(length), np.zeros(LEADS - 1))))
             if tokens:
                 ints = [pa.array(np.concatenate(x), pa.int32()) for x in ([y.astype(np.int32) for y in z] for z in (sizes, order, rank))]
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), _signed(np.concatenate(nodes)), *ints], names=["token", "node", "n", "ord", "rank"])
@@ -219,7 +222,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, orders: Ord
     """Linked ones among ``pairs``: prefixes under the further orders first, then whole sets."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = classes.join(nodes, "node").select("uid", "node")
-    texts = rows.join(wanted, "uid").select("node", "text")
+    # Repeated rows go where the join has put them anyway.
+    texts = rows.join(wanted, "uid").dropDuplicates(["uid"]).select("node", "text")
 
     def prefixes(batches):
         for batch in batches:
@@ -229,14 +233,15 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, orders: Ord
                 for o in range(1, ORDERS):
                     out.append(orders.prefix(grams, o, length))
                     cuts.append(cuts[-1] + length)
-            flat = _signed(np.concatenate(out)) if out else pa.array([], pa.int64())
+            # Halves of the hashes do: the filter may only let more pairs through.
+            flat = pa.array((np.concatenate(out) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) if out else [], pa.int32())
             step = ORDERS - 1
             columns = [pa.ListArray.from_arrays(pa.array([*cuts[0:-1], cuts[-1]], pa.int32()), flat)]
             lists = [columns[0].take(pa.array(np.arange(batch.num_rows) * step + i)) for i in range(step)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["node", "text", *(f"p{o}" for o in range(1, ORDERS))])
 
-    lists = ", ".join(f"p{o} array<long>" for o in range(1, ORDERS))
-    texts = staged(texts.mapInArrow(prefixes, f"node long, text string, {lists}").dropDuplicates(["node"]), "texts")
+    lists = ", ".join(f"p{o} array<int>" for o in range(1, ORDERS))
+    texts = staged(texts.mapInArrow(prefixes, f"node long, text string, {lists}"), "texts")
     side = lambda name, columns: texts.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
     further = [f"p{o}" for o in range(1, ORDERS)]
     kept = pairs.join(side("a", further), "a").join(side("b", further), "b")
