@@ -100,7 +100,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     slots = Slots.of(solve(histogram, capacity, rounds))
     earlier = Window.partitionBy("_length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(F.col("_task").alias("_t"), "_length", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    ranked = numbered.join(before, (numbered["_task"] == before["_t"]) & (numbered["length"] == before["_length"]))
+    # Tasks times lengths grow with the corpus: never broadcast, however small the file looks.
+    ranked = numbered.join(before.hint("merge"), (numbered["_task"] == before["_t"]) & (numbered["length"] == before["_length"]))
     ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_local")).alias("_rank"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
