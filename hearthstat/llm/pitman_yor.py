@@ -185,6 +185,45 @@ def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return every[new], np.add.reduceat(n, new) if len(new) else n
 
 
+def _slice_counts(keys: np.ndarray, trained: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys with their counts in training rows, and those of the other rows with 0."""
+    out = []
+    for flag in (True, False):
+        part = np.sort(keys[trained == flag])
+        new = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+        out.append((part[new], np.diff(np.append(new, len(part))) if flag else np.zeros(len(new), np.int64)))
+    return out
+
+
+class Lookup:
+    """Values of distinct keys, found by open addressing; only held keys are asked for."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(left):
+            free = self.slots[at[left]] < 0
+            tried = left[free]
+            self.slots[at[tried]] = tried  # of several for one place one stays
+            left = np.concatenate((left[~free], tried[self.slots[at[tried]] != tried]))
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        at = self._first(wanted)
+        found = self.slots[at]
+        wrong = np.flatnonzero(self.keys[found] != wanted)
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & ((1 << self.bits) - 1)
+            found[wrong] = self.slots[at[wrong]]
+            wrong = wrong[self.keys[found[wrong]] != wanted[wrong]]
+        return self.values[found]
+
+
 def _bucket_of(kind: int, keys: np.ndarray) -> np.ndarray:
     """Contexts by their last two bytes, words by a part of their hash (negative)."""
     return keys >> 8 & 0xFFFF if kind == 0 else -1 - (keys & (WORD_BUCKETS - 1))
@@ -218,8 +257,7 @@ def _chunk_rows(group: int):
             for row, offsets, data in text_slices(batch.column("text")):
                 use = trained[row : row + len(offsets) - 1]
                 for kind, (keys, first) in enumerate((strings(offsets, data), token_hashes(offsets, data))):
-                    weight = np.repeat(use, np.diff(first)).astype(np.int64)
-                    held[kind].append(_counted([keys], [weight]))
+                    held[kind].extend(_slice_counts(keys, np.repeat(use, np.diff(first))))
                 pending += 1
             if pending > 8:
                 held, pending = tuple([_counted([k for k, _ in h], [c for _, c in h])] for h in held), 0
@@ -319,9 +357,9 @@ def _scored(id_type: pa.DataType, total: int, distinct: int):
         texts, parts = left.column("text").combine_chunks(), []
         for _, offsets, data in text_slices(texts):
             keys, first = strings(offsets, data)
-            model = _sums(_values(known[0], keys), first)
+            model = _sums(known[0].of(keys), first)
             tokens, first = token_hashes(offsets, data)
-            counts = _values(known[1], tokens)
+            counts = known[1].of(tokens)
             base = _sums(np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1))), first)
             parts.append((np.diff(first), _sums(counts > 0, first).astype(np.int64), base, model))
         n_tokens, n_known, base, model = (np.concatenate(x) for x in zip(*parts))
@@ -332,15 +370,9 @@ def _scored(id_type: pa.DataType, total: int, distinct: int):
     return score
 
 
-def _lookup(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+def _lookup(table: pa.Table, kind: int) -> Lookup:
     rows = [(_keys(b, k), np.frombuffer(v, _value_kind(b)).astype(float)) for b, k, v in zip(*(table.column(c).to_pylist() for c in ("bucket", "keys", "values"))) if (b < 0) == bool(kind)]
-    keys = np.concatenate([k for k, _ in rows])
-    order = np.argsort(keys)
-    return keys[order], np.concatenate([v for _, v in rows])[order]
-
-
-def _values(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    return known[1][np.searchsorted(known[0], keys)]
+    return Lookup(np.concatenate([k for k, _ in rows]), np.concatenate([v for _, v in rows]))
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
