@@ -13,6 +13,7 @@ from hearthstat.llm.staging import small_batches, staged
 from hearthstat.workspace import configure
 
 ORACLE_SQL = None
+SHINGLE_WORDS, NEAR_PERCENT = 5, 80  # the stage's rule; op7 has its own
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +23,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 3-word shingles: the one with the least id, then the least text.
+    """One document of each group linked by 5-word shingles at 0.8: the one with the least id, then the least text.
 
     Rows of one id and one text are one document; documents without words are each their own.
     """
     key = F.xxhash64("doc_id", "text")
-    joined = jaccard_join.ngram_jaccard_join(docs.select("doc_id", "text", key.alias("_key")), id_col="_key")
+    keyed = docs.select("doc_id", "text", key.alias("_key"))
+    joined = jaccard_join.ngram_jaccard_join(keyed, id_col="_key", k=SHINGLE_WORDS, percent=NEAR_PERCENT)
     groups = staged(joined.select("_key", "component_id").distinct(), "groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key"))
     ids = docs.select(key.alias("_key"), "doc_id").join(groups, "_key")
