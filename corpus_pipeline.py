@@ -14,6 +14,8 @@ from hearthstat.workspace import configure
 
 ORACLE_SQL = None
 SHINGLE_WORDS, NEAR_PERCENT = 5, 80  # the stage's rule; op7 has its own
+PASSAGE_WORDS = 50  # a passage has more; op10 goes by 400 bytes instead
+PASSAGE_BYTES, PASSAGE_GRAM = 2 * PASSAGE_WORDS + 1, 40  # the shortest passage: words of one letter
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without its repeated byte strings; ``n_chars`` follows the text."""
-    cleaned = suffix_dedup.deduplicated(docs)
+    """Every document without its repeated strings of more than 50 words, or of op10's 400 bytes; ``n_chars`` follows the text.
+
+    Strings are sought at the fewest bytes that hold 51 words; repeats that overlap in a text are
+    one span, which goes if it has the words or the bytes.
+    """
+    cleaned = suffix_dedup.deduplicated(docs, over_words=PASSAGE_WORDS, length=PASSAGE_BYTES, gram=PASSAGE_GRAM)
     changed = F.col("_dedup.n_removed") > 0
     columns = {"text": F.when(changed, F.col("_dedup.kept")).otherwise(F.col("text"))}
     columns["n_chars"] = F.when(changed, F.length("_dedup.kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

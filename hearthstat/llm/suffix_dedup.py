@@ -230,12 +230,15 @@ def joined_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
 CUT = "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string,kept:string>"
 
 
-def cut(column: pa.Array, spans: pa.Array) -> pa.Array:
-    """Counts, digest of the remaining bytes, and these as text without characters cut in two."""
+def cut(column: pa.Array, spans: pa.Array, over_words: int = -1, any_words: int = LENGTH) -> pa.Array:
+    """Counts, digest of the remaining bytes, and these as text without characters cut in two.
+
+    Joined spans of fewer than ``any_words`` bytes stay unless they touch more than ``over_words`` words.
+    """
     texts, out = flat(column), []
     for text, found in zip(texts, spans):
         raw = (text.as_py() or "").encode()
-        gone = joined_spans(found.as_py())
+        gone = [(a, b) for a, b in joined_spans(found.as_py()) if b - a >= any_words or len(raw[a:b].split()) > over_words]
         left, at = [], 0
         for a, b in gone:
             left.append(raw[at:a])
@@ -248,12 +251,15 @@ def cut(column: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], list(names))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one more column ``_dedup``: the struct of ``cut`` for each row."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over_words: int = -1, **options) -> DataFrame:
+    """``docs`` with one more column ``_dedup``: the struct of ``cut`` for each row; ``over_words`` is as there."""
     keyed = docs.withColumn("_uid", F.xxhash64(id_col, text_col))
     rows = keyed.select(F.col("_uid").alias("uid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = repeated_spans(rows, **options).distinct()
     spans = spans.groupBy(F.col("uid").alias("_u")).agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
     joined = keyed.join(spans, keyed["_uid"] == spans["_u"], "left")
-    return joined.select(*docs.columns, F.arrow_udf(cut, CUT)(F.col(text_col), F.col("_spans")).alias("_dedup"))
 
+    def removed(column: pa.Array, spans: pa.Array) -> pa.Array:
+        return cut(column, spans, over_words)
+
+    return joined.select(*docs.columns, F.arrow_udf(removed, CUT)(F.col(text_col), F.col("_spans")).alias("_dedup"))

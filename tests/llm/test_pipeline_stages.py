@@ -49,3 +49,25 @@ def test_near_copies_go_by_five_words_and_four_fifths(spark):
     assert not linked(rows[0][1], rows[2][1], 5, 80)
     out = STAGES["n-gram Jaccard join"](spark, documents(spark, rows), "").collect()
     assert sorted(r.doc_id for r in out) == kept_by_rule(rows)
+
+
+def passage(rng, sizes):
+    return " ".join("".join(rng.choice(list("abcdefghij"), n)) for n in sizes)
+
+
+def test_passages_of_over_fifty_words_go(spark):
+    """52 words of 306 bytes, 51 words of one letter; 50 words stay where they are."""
+    rng = np.random.default_rng(22)
+    longer = passage(rng, [5] * 47 + [4] * 5)
+    least, fewer = passage(rng, [1] * 51), passage(rng, [5] * 50)
+    assert len(longer) == 306 and len(least) == 101 and 101 < len(fewer) < 400
+    around = [(passage(rng, [9] * 30), passage(rng, [9] * 30)) for _ in range(10)]
+    planted = [longer] * 4 + [least] * 3 + [fewer] * 3
+    # Unlike letters beside the passage, so that the repeat ends where the passage does.
+    rows = [(i, f"{a}{'klmnopqrst'[i]}\n{p}\n{'klmnopqrst'[i]}{b}") for i, ((a, b), p) in enumerate(zip(around, planted))]
+    out = STAGES["suffix-array dedup"](spark, documents(spark, rows), "").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        text = rows[r.doc_id][1]
+        assert r.text == (text if r.doc_id >= 7 else text.replace("\n" + planted[r.doc_id] + "\n", ""))
+        assert r.n_chars == len(r.text)
