@@ -25,9 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 5-word shingles at 0.8: the one with the least id, then the least text.
+    """One row of each group linked by 5-word shingles at 0.8: the one with the least id, then the least text.
 
-    Rows of one id and one text are one document; documents without words are each their own.
+    Rows of one id and one text are one document, of which the row that is least in its other
+    columns stays, also without an id; other documents without words are each their own.
     """
     key = F.xxhash64("doc_id", "text")
     keyed = docs.select("doc_id", "text", key.alias("_key"))
@@ -36,7 +37,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key"))
     ids = docs.select(key.alias("_key"), "doc_id").join(groups, "_key")
     kept = ids.groupBy("component_id").agg(least.alias("_least")).select("_least._key")
-    return docs.join(kept, key == kept["_key"], "left_semi").select(*docs.columns)
+    single = docs.groupBy(key.alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return single.join(kept, "_key", "left_semi").select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,18 @@ def test_passages_of_over_fifty_words_go(spark):
         text = rows[r.doc_id][1]
         assert r.text == (text if r.doc_id >= 7 else text.replace("\n" + planted[r.doc_id] + "\n", ""))
         assert r.n_chars == len(r.text)
+
+
+def test_one_row_stays_of_repeated_rows(spark):
+    """Repeated rows and rows without ids are one document, and its text is whole after the next stage."""
+    rng = np.random.default_rng(23)
+    twice, unnamed, mixed, alone = (prose(rng, 90) for _ in range(4))
+    rows = [(1, twice)] * 3 + [(None, unnamed)] * 4 + [(2, mixed), (None, mixed), (2, mixed), (3, alone)]
+    rows += [(4, None)] * 2 + [(5, None), (None, None), (None, None), (6, " "), (6, " ")]
+    docs = STAGES["n-gram Jaccard join"](spark, documents(spark, rows), "")
+    want = [(1, twice), (2, mixed), (3, alone), (4, None), (5, None), (6, " "), (None, None), (None, unnamed)]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert docs.columns == ["doc_id", "text", "n_chars"]
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=order) == want
+    after = STAGES["suffix-array dedup"](spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in after), key=order) == want
