@@ -4,10 +4,13 @@ A text is brought to a canonical form: A-Z lower-cased, copyright lines dropped,
 punctuation and white space made one space, equivalent spellings made one.  Its SHA-256 is
 looked up, by a hash join, among the digests of known licence texts in the same form.  The
 whole text of a document is a unit, and so is each of its lines, since notices stand on
-lines of their own.  The table of known texts is fixed and small, so it is broadcast.
+lines of their own.  Known texts are a table (license, text); the one that comes with the
+package is small, so it is broadcast: ``KNOWN``, the whole texts in ``license_texts``, and a
+line with each of the ``SPDX`` ids.
 
-Every known text holds one of ``MARKS``; a unit without any cannot equal one, so only units
-with a mark are brought to canonical form.  This loses nothing (a test holds the table to it).
+Every text of the package's table holds one of ``MARKS``; a unit without any cannot equal one,
+so only units with a mark are brought to canonical form.  This loses nothing (a test holds the
+table to it).  With a table of the caller's own, all units are brought to it.
 
 Defined results: NULL and empty texts have no match; repeated rows match each for itself; a
 document that consists of one line and matches is reported as text and as line; an empty
@@ -16,6 +19,9 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Short licences, customary notices and their identifiers.
@@ -66,6 +72,13 @@ KNOWN = (
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
 )
+# Identifiers that stand in a line of their own.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0",
+    "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "EUPL-1.2", "GPL-1.0-only",
+    "GPL-1.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.0-only", "LGPL-2.0-or-later",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib",
+)
 # Spellings that count as the same, after punctuation has gone.
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licence", "sublicense"),
@@ -100,28 +113,45 @@ def marked(text: Column) -> Column:
     return held
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """``license`` and ``digest`` of the known texts, one row for each digest."""
-    pairs = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in KNOWN))
-    known = spark.range(1).select(F.inline(pairs))
+@functools.cache
+def package_texts() -> tuple[tuple[str, str], ...]:
+    """License and text of all that the package knows."""
+    whole = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    texts = (*KNOWN, *((path.stem, path.read_text("utf-8")) for path in whole))
+    return (*texts, *((name, f"SPDX-License-Identifier: {name}") for name in SPDX))
+
+
+def known_texts(spark: SparkSession) -> DataFrame:
+    """The package's table: ``license`` and ``text``."""
+    pairs = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in package_texts()))
+    return spark.range(1).select(F.inline(pairs))
+
+
+def known_digests(known: DataFrame) -> DataFrame:
+    """``license`` and ``digest`` of known texts, one row for each digest."""
     digest = F.sha2(canonical(F.col("text")), 256).alias("digest")
-    return known.select("license", digest).groupBy("digest").agg(F.min("license").alias("license"))
+    return known.filter(canonical(F.col("text")) != "").select("license", digest).groupBy("digest").agg(F.min("license").alias("license"))
+
 
+def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """The id, ``unit`` ('text' or 'line'), ``line`` (from 0, NULL for text), ``license`` and ``digest`` of each match.
 
-def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, ``unit`` ('text' or 'line'), ``line`` (from 0, NULL for text), ``license`` and ``digest`` of each match."""
+    ``known`` has ``license`` and ``text``; without it the package's table is taken.
+    """
     text = F.col("_text")
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text")).filter(marked(text))
+    looked_up = marked if known is None else Column.isNotNull
+    digests = F.broadcast(known_digests(known_texts(docs.sparkSession))) if known is None else known_digests(known)
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text")).filter(looked_up(text))
     lines = F.transform(F.split("_text", "\n"), lambda line, i: F.struct(F.lit("line").alias("unit"), i.alias("line"), line.alias("body")))
-    lines = F.filter(lines, lambda u: marked(u["body"]))
+    lines = F.filter(lines, lambda u: looked_up(u["body"]))
     whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(None).cast("int").alias("line"), text.alias("body")))
     units = rows.select(id_col, F.explode(F.concat(whole, lines)).alias("_u"))
     units = units.select(id_col, "_u.unit", "_u.line", F.sha2(canonical(F.col("_u.body")), 256).alias("digest"))
-    return units.join(F.broadcast(known_digests(docs.sparkSession)), "digest").select(id_col, "unit", "line", "license", "digest")
+    return units.join(digests, "digest").select(id_col, "unit", "line", "license", "digest")
 
 
 def license_sql() -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL, with ``KNOWN`` only."""
 
     def form(text: str) -> str:
         out = f"translate({text}, '{UPPER}', '{LOWER}')"
