@@ -47,7 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Strings are sought at the fewest bytes that hold 51 words; repeats that overlap in a text are
     one span, which goes if it has the words or the bytes.
     """
-    cleaned = suffix_dedup.deduplicated(docs, over_words=PASSAGE_WORDS, length=PASSAGE_BYTES, gram=PASSAGE_GRAM)
+    cleaned = suffix_dedup.deduplicated(docs, over_words=PASSAGE_WORDS, length=PASSAGE_BYTES, gram=PASSAGE_GRAM, sift=True)
     changed = F.col("_dedup.n_removed") > 0
     columns = {"text": F.when(changed, F.col("_dedup.kept")).otherwise(F.col("text"))}
     columns["n_chars"] = F.when(changed, F.length("_dedup.kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

@@ -110,9 +110,17 @@ def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.select("uid", "text").mapInArrow(find, ", ".join(f"{c} {k}" for c, k in zip(ANCHOR_COLUMNS, kinds)))
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Spans (uid, a, b) of repeated strings in ``rows`` (uid, text); spans may overlap."""
-    found = staged(_anchor_rows(rows, length, gram), "anchors")
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, sift: bool = False) -> DataFrame:
+    """Spans (uid, a, b) of repeated strings in ``rows`` (uid, text); spans may overlap.
+
+    ``sift`` finds the repeated anchors first and writes only these: a second pass over the texts
+    for less disk, where short strings make many anchors.
+    """
+    found = _anchor_rows(rows, length, gram)
+    if sift:
+        several = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+        found = found.join(staged(several, "several"), "anchor", "left_semi")
+    found = staged(found, "anchors")
     key = F.xxhash64("uid", "pos")
     one = lambda c: F.min_by(c, "_k").alias(c)
     kinds = found.withColumn("_k", key).groupBy("anchor", "around").agg(F.count("*").alias("n"), *(one(c) for c in ANCHOR_COLUMNS[2:]))
