@@ -11,7 +11,7 @@ alphabet is that of the landmarks; a letter outside it is one further character.
 
 Defined results: ``und`` with score 0 where the text is NULL or has no letter, or where no
 labelled text was given; training rows with NULL text or language, or without a letter, are
-left out.  Repeated rows count as often as they occur.  An empty table gives no rows.
+left out.  Repeated rows of a text and a language count once in training.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -149,20 +149,23 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
 
 
 def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, per_language: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled texts of each language, chosen by a hash of the text.
+    """At most ``per_language`` different labelled texts of each language, chosen by a hash of the text.
 
-    Texts are thinned by the hash before any are ranked, so no language's rows meet in a task.
-    Labels are counted over all rows; more than MOST_LANGUAGES of them are refused, as the
-    model holds weights for each.
+    Texts are thinned by the hash and copies dropped before any are ranked, so neither a language's
+    rows nor a text's copies meet in a task.  Different texts are counted by hash over all rows;
+    more than MOST_LANGUAGES labels are refused, as the model holds weights for each.
     """
+    key = F.xxhash64("t")
     rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("t is not null and l is not null")
-    found = rows.groupBy("l").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).toArrow()
+    rows = rows.filter(F.col("t").rlike("\\p{L}"))
+    different = rows.select("l", key.alias("_k")).distinct()
+    found = different.groupBy("l").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).toArrow()
     if found.num_rows > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts = docs.sparkSession.createDataFrame(found, "l string, n long")
     share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n"))
-    key = F.xxhash64("t")
     thinned = rows.join(F.broadcast(counts), "l").filter(F.pmod(key, F.lit(1 << 30)) < share * F.lit(1 << 30))
+    thinned = thinned.select("t", "l").distinct()
     rank = F.row_number().over(Window.partitionBy("l").orderBy(key, "t"))
     chosen = thinned.select("t", "l", rank.alias("k")).filter(F.col("k") <= per_language)
     return [(r.t, r.l) for r in chosen.orderBy("l", "k").collect()]
