@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import archives, decontaminate, jaccard_join, language, licenses, packing, pitman_yor, quality, suffix_dedup, token_counts
-from .staging import small_batches
+from . import (
+    archives, conversations, decontaminate, importance, jaccard_join, language, licenses, packing, pitman_yor, quality,
+    sql, suffix_dedup, token_counts, token_files,
+)
+from .staging import small_batches, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def query(fn):
@@ -101,3 +105,27 @@ def op4_benchmark_decontamination(spark, sf_dir):
 @query
 def op2_pitman_yor_scoring(spark, sf_dir):
     return pitman_yor.score_texts(table(spark, sf_dir, "documents"), fold(5))
+
+
+@query
+def op11_importance_resampling(spark, sf_dir):
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+SQL["op11_importance_resampling"] = sql.resampling_sql()
+
+
+@query
+def op12_token_files(spark, sf_dir):
+    path = workspace(spark).child(f"token-files-{uuid.uuid4().hex}")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_VOCABULARY), end_id=1)
+    return token_files.token_digests(token_files.read_tokens(spark, path))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+SQL["op13_conversation_repair"] = sql.repair_sql()
