@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 # Added before rounding, here and in the queries: means over whole-number weights often lie
 # exactly between two rounded values, where the last bit of a sum would decide.
 OFFSET = 1.23e-6
@@ -191,6 +194,14 @@ def oracle_sql() -> dict[str, str]:
           CAST(num_uc AS INTEGER) AS num_uc, cod_informante, CAST(v9001 AS INTEGER) AS v9001, v9011, fator_anualizacao, round(v8000_defla, 2) AS v8000_defla,
           round(deflator, 2) AS deflator, peso, peso_final, renda_total FROM items""",
     )
+    lines = f"""{ITEMS}, lines AS (SELECT row_number() OVER (ORDER BY {ORDER}) AS src_line,
+        CAST(household % 100000 AS INTEGER) AS v9004, CAST(v9001 AS INTEGER) AS v9001, cod_informante, renda_total, peso FROM items)"""
+    sql["s2_line_numbers"] = q(lines, "SELECT src_line, v9004, v9001, cod_informante FROM lines")
+    sql["a7_first_line"] = q(
+        lines,
+        """SELECT v9004, src_line, v9001, renda_total, peso FROM lines
+        WHERE src_line IN (SELECT min(src_line) FROM lines GROUP BY v9004)""",
+    )
     sql["s3_missing_values"] = q(
         ITEMS,
         """SELECT count(*) AS n, count(*) - count(v9011) AS na_v9011,
@@ -420,7 +431,10 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT '{name}' AS psus, grp AS decil, round(estimate, 4) AS estimate, round(se, 3) AS se FROM res")})"""
         for name, full in (("subset", ""), ("domain", "dec"))
     )
-    sql["e22_quantile_interval"] = interval_sql()
+    placed = f"{TRANSPORT}, fam AS (SELECT * FROM dec WHERE decil IS NOT NULL)"
+    sql["e22_quantile_interval"] = interval_sql(placed, "decil", MEDIAN, 4)
+    two = "(SELECT unnest([CAST(0.25 AS DOUBLE), 0.5]) AS p)"
+    sql["e22_national_interval"] = interval_sql(f"{POOR}, fam AS (SELECT * FROM poor)", "", two, 3)
     sql["e23_svyby"] = decile_mean("fuel", "gasto_total")
     # Windows
     sql["w1_total_on_items"] = q(
@@ -526,25 +540,56 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'deflator', count(*) - count(deflator), count(deflator) FROM items
         UNION ALL SELECT 'v9001', 0, 0 FROM items HAVING count(*) > 0""",
     )
+    sql["s3_problems_while_reading"] = sql["s3_field_problems"]
     sql["r9_half_median_totals"] = q(f"{POOR}, {DIM}", totals)
     return {name: text.replace("round(", f"round({OFFSET} + ") for name, text in sql.items()}
 
 
-def interval_sql() -> str:
-    from hearthstat.operators.interval import TABLED_DF, _normal_quantile, _t_table
-
-    table = "[" + ", ".join(repr(v) for v in _t_table(0.975)) + "]"
-    z = repr(_normal_quantile(0.975))
-    ind = "(SELECT dec.*, CASE WHEN gasto_total <= q THEN 1.0 ELSE 0.0 END AS ind FROM dec JOIN r USING (decil))"
+def interval_sql(rows: str, by: str, probs: str, digits: int) -> str:
+    """Quantiles of ``gasto_total`` and their intervals; ``rows`` are CTEs that end in a table ``fam``."""
+    g, on, part = (f"{by}, ", f"USING ({by})", f"PARTITION BY {by}") if by else ("", "ON true", "")
+    group = f"{by} || '/' || p" if by else "CAST(p AS VARCHAR)"
+    ind = f"(SELECT fam.*, {group} AS g, CASE WHEN gasto_total <= q THEN 1.0 ELSE 0.0 END AS ind FROM fam JOIN r {on})"
+    table = "[" + ", ".join(repr(student_t(df)) for df in range(1, 101)) + "]"
+    share = "CAST(1e-12 AS DOUBLE)"
     return q(
-        f"""{TRANSPORT}, {quantile("r", "(SELECT * FROM dec WHERE decil IS NOT NULL)", "gasto_total", MEDIAN, "decil")},
-{errors(ind, "ind", "mean", "decil")},
-reach AS (SELECT grp AS decil, CASE WHEN df > {TABLED_DF} THEN CAST({z} AS DOUBLE)
-    WHEN df >= 1 THEN CAST(({table})[df] AS DOUBLE) END AS t, se FROM res),
-lim AS (SELECT r_c.decil, t,
-    min(CASE WHEN cw >= greatest(CAST(0.5 AS DOUBLE) - t * se, 0) * tw * (1 - CAST(1e-12 AS DOUBLE)) THEN x END) AS lo,
-    min(CASE WHEN cw >= least(CAST(0.5 AS DOUBLE) + t * se, 1) * tw * (1 - CAST(1e-12 AS DOUBLE)) THEN x END) AS hi
-  FROM r_c JOIN reach USING (decil) GROUP BY 1, 2)""",
-        """SELECT r.decil, p, round(q, 4) AS quantile, round(lo, 4) AS ci_low, round(hi, 4) AS ci_high,
-          round((hi - lo) / (2 * t), 4) AS se FROM r LEFT JOIN lim USING (decil)""",
-    )
+        f"""{rows}, {quantile("r", "fam", "gasto_total", probs, by)},
+{errors(ind, "ind", "mean", "g")},
+reach AS (SELECT {g}p, q, CAST(({table})[df] AS DOUBLE) AS t, se FROM r LEFT JOIN res ON grp = {group}),
+lim AS (SELECT {g.replace(by, "c." + by) if by else ""}reach.p, t,
+    min(CASE WHEN cw >= greatest(reach.p - t * se, 0) * tw * (1 - {share}) THEN x END) AS lo,
+    min(CASE WHEN cw >= least(reach.p + t * se, 1) * tw * (1 - {share}) THEN x END) AS hi
+  FROM r_c c JOIN reach {on} GROUP BY ALL)""",
+        f"""SELECT {"r." + by + ", " if by else ""}r.p, round(q, 4) AS quantile, round(lo, 4) AS ci_low, round(hi, 4) AS ci_high,
+          round((hi - lo) / (2 * t), {digits}) AS se FROM r LEFT JOIN lim ON r.p = lim.p {f"AND r.{by} = lim.{by}" if by else ""}""",
+    )
+
+
+@functools.cache
+def student_t(df: int, p: float = 0.975) -> float:
+    """Student t quantile by the regularised incomplete beta function, as a continued fraction.
+
+    Textbook values of it are tested; nothing here comes from the library.
+    """
+
+    def tail(t: float) -> float:
+        a, b, x = df / 2, 0.5, df / (df + t * t)
+        swap = x > (a + 1) / (a + b + 2)
+        if swap:
+            a, b, x = b, a, 1 - x
+        c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+        h = d
+        for m in range(1, 500):
+            for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d, c = 1 / (1 + step * d), 1 + step / c
+                h *= c * d
+            if abs(c * d - 1) < 1e-16:
+                break
+        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
+        return (1 - front * h if swap else front * h) / 2
+
+    low, high = 0.1, 1000.0
+    for _ in range(70):
+        middle = (low + high) / 2
+        low, high = (middle, high) if tail(middle) > 1 - p else (low, middle)
+    return (low + high) / 2

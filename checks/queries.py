@@ -120,6 +120,37 @@ def s2_read_expenses(spark, sf_dir):
     )
 
 
+@query
+def s2_line_numbers(spark, sf_dir):
+    """Lines numbered over all files and splits; the files are written in the order of the items."""
+    path = session_space(spark).child("ordered.txt")
+    rows = file_row(survey_view.expense_items(spark, sf_dir)).withColumn("v9004", F.col("household") % 100000)
+    write_fwf(rows.orderBy(*ITEM_KEY), path, layouts.INDIVIDUAL_EXPENSES)
+    read = fixed_width.read_fwf(spark, path, layouts.INDIVIDUAL_EXPENSES, file_order=True)
+    return read.select("src_line", "v9004", "v9001", "cod_informante")
+
+
+@query
+def a7_first_line(spark, sf_dir):
+    """The first line of each household in the order of the files."""
+    path = session_space(spark).child("ordered_first.txt")
+    rows = file_row(survey_view.expense_items(spark, sf_dir)).withColumn("v9004", F.col("household") % 100000)
+    write_fwf(rows.orderBy(*ITEM_KEY), path, layouts.INDIVIDUAL_EXPENSES)
+    read = fixed_width.read_fwf(spark, path, layouts.INDIVIDUAL_EXPENSES, file_order=True)
+    keep = ("src_line", "v9001", "renda_total", "peso")
+    return household.first_per_household(read, keep, ("v9004",), fixed_width.FILE_ORDER)
+
+
+@query
+def s3_problems_while_reading(spark, sf_dir):
+    """Field problems counted by the pass that writes the items as a table."""
+    path, space = expense_file(spark, sf_dir), session_space(spark)
+    wrong = [layouts.Field(f.name, f.start, f.width, "int") if f.name == "deflator" else f for f in layouts.INDIVIDUAL_EXPENSES]
+    problems = fixed_width.FieldProblems()
+    space.stage(fixed_width.read_fwf(spark, path, wrong, problems=problems).select("v9001", "v9011"), "items")
+    return problems.table(spark).filter(F.col("field").isin("v9011", "deflator", "v9001"))
+
+
 @query
 def s3_missing_values(spark, sf_dir):
     path = expense_file(spark, sf_dir)
@@ -528,9 +559,8 @@ def e19_median_spend_by_decile(spark, sf_dir):
 @query
 def e20_medians_below_half(spark, sf_dir):
     poor = transport(spark, sf_dir).below_half()
-    groups = F.array(F.coalesce("decil", F.lit(0)), F.lit(NATIONAL))
-    rows = poor.df.withColumn("decil", F.explode(groups))
-    medians = svy_quantile(poor.on(rows), ["gasto_total", "valor_total"], [0.5], ["decil"])
+    rows = poor.df.withColumn("decil", F.coalesce("decil", F.lit(0)))
+    medians = svy_quantile(poor.on(rows), ["gasto_total", "valor_total"], [0.5], ["decil"], whole=NATIONAL)
     return rounded(medians.drop("p"))
 
 
@@ -553,6 +583,13 @@ def e22_quantile_interval(spark, sf_dir):
     return rounded(svy_quantile_ci(design, "gasto_total", [0.5], ["decil"]))
 
 
+@query
+def e22_national_interval(spark, sf_dir):
+    """Median spend of families below half the median, with its interval, as the detail report prints it."""
+    poor = transport(spark, sf_dir).below_half()
+    return rounded(svy_quantile_ci(poor, "gasto_total", [0.25, 0.5]), se=3)
+
+
 @query
 def e23_svyby(spark, sf_dir):
     return rounded(svy_by(placed(decile_design(spark, sf_dir)), "gasto_total", ["decil"], "mean"))

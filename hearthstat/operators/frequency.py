@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .design import Design
+from .design import Design, calibration_factor
 
 
 def freq(df: DataFrame, column: str, use_na: bool = True) -> DataFrame:
@@ -39,11 +39,11 @@ def svy_table(
 ) -> DataFrame:
     """``(columns, freq)``: weighted frequencies.
 
-    Rows with a NULL level are left out; ``levels`` lists the levels wanted, with 0
-    where the sample has none.
+    Rows with a NULL level, and rows that calibration left without a weight, are left out;
+    ``levels`` lists the levels wanted, with 0 where the sample has none.
     """
     keys = [columns] if isinstance(columns, str) else list(columns)
-    df = design.df.dropna(subset=keys)
+    df = design.df.dropna(subset=[*keys, design.weight])
     table = df.groupBy(*keys).agg(F.sum(design.weight).alias("freq"))
     if levels is None:
         return table
@@ -60,24 +60,24 @@ def calibrated_cells(
     """``(within, by, column, freq, calibrated)``: plain and post-stratified weight sums.
 
     Calibration inside a ``within`` level scales weights by one factor per post-stratum,
-    so the rows are read once and everything else happens on these few sums.  Rows
-    without a post-stratum belong to none: their calibrated weight is NULL, as in
-    ``post_stratify``.
+    so the rows are read once and everything else happens on these few sums.  The factor's
+    rule is that of ``post_stratify``: rows without a post-stratum belong to none, and their
+    cells' calibrated weight is NULL.
     """
     cells = design.df.groupBy(within, by, column).agg(
         F.sum(design.weight).alias("freq"), F.sum(population).alias("_n")
     )
     stratum = Window.partitionBy(within, by)
-    factor = F.sum("_n").over(stratum) / F.sum("freq").over(stratum)
-    calibrated = F.when(F.col(by).isNotNull(), F.col("freq") * factor).alias("calibrated")
-    return cells.select(within, by, column, "freq", calibrated)
+    factor = calibration_factor(by, F.sum("_n").over(stratum), F.sum("freq").over(stratum))
+    return cells.select(within, by, column, "freq", (F.col("freq") * factor).alias("calibrated"))
 
 
 def calibrated_table(design: Design, column: str, within: str, **options) -> DataFrame:
     """``(within, column, freq)`` with weights post-stratified inside each ``within`` level.
 
-    Equal to ``post_stratify`` followed by ``svy_table``.
+    Equal to ``post_stratify`` followed by ``svy_table``: a cell counts its rows of known
+    post-strata, and a cell without any is not listed.
     """
-    cells = calibrated_cells(design, column, within, **options)
+    cells = calibrated_cells(design, column, within, **options).dropna(subset=["calibrated"])
     table = cells.groupBy(within, column).agg(F.sum("calibrated").alias("freq"))
     return table.dropna(subset=[within, column])

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.items import HOUSEHOLD_KEYS, ids_to_string
+from ..sources.layouts import INDIVIDUAL_EXPENSES
 from ..workspace import same
+from .first_row import RowOrder, first_row
 
-FIRST_ROW_ORDER = ("cod_informante", "quadro", "seq", "v9001")
+_WIDTHS = {f.name: f.width for f in INDIVIDUAL_EXPENSES}
+FIRST_ROW_ORDER = RowOrder(
+    ("cod_informante", "quadro", "seq", "v9001"),
+    {c: _WIDTHS[c] for c in ("cod_informante", "quadro", "seq", "v9001")},
+)
 BASE_COLUMNS = ("estrato_pof", "uf", "renda_anual", "peso", "peso_final")
 
 
@@ -41,10 +47,10 @@ def total_on_items(
 
 
 def first_per_household(
-    items: DataFrame, keep: Sequence[str], keys=HOUSEHOLD_KEYS, order=FIRST_ROW_ORDER
+    items: DataFrame, keep: Sequence[str], keys=HOUSEHOLD_KEYS, order: RowOrder | Sequence[str] = FIRST_ROW_ORDER
 ) -> DataFrame:
-    """The kept columns of each household's first row in ``order``."""
-    firsts, kept = _first(items, keep, keys, order)
+    """The kept columns of each household's first row in ``order``, NULLs first."""
+    firsts, kept = first_row(items, [c for c in keep if c not in keys], order)
     return items.groupBy(*keys).agg(*firsts).select(*keys, *kept)
 
 
@@ -53,16 +59,16 @@ def household_base(
     value: str = "gasto",
     keep: Sequence[str] = BASE_COLUMNS,
     keys=HOUSEHOLD_KEYS,
-    order=FIRST_ROW_ORDER,
+    order: RowOrder | Sequence[str] = FIRST_ROW_ORDER,
     quirk_plus_one: bool = False,
 ) -> DataFrame:
     """Household total and first row in one shuffle.
 
     Both parts merge before the shuffle, so a household with very many items
-    sends one row per map task.  With one numeric ``order`` column and numbers to keep
-    they merge by hash; any other order or kept column makes Spark sort first.
+    sends one row per map task.  They merge by hash if ``order`` fits one number (see
+    ``first_row``) and numbers are kept; kept text makes Spark sort first.
     """
-    firsts, kept = _first(items, keep, keys, order)
+    firsts, kept = first_row(items, [c for c in keep if c not in keys], order)
     grouped = items.groupBy(*keys).agg(_total(value, quirk_plus_one).alias("gasto_total"), *firsts)
     return grouped.select(*keys, "gasto_total", *kept)
 
@@ -72,18 +78,6 @@ def _total(value: str, quirk_plus_one: bool) -> Column:
     return total + 1.0 if quirk_plus_one else total
 
 
-def _first(items: DataFrame, keep, keys, order) -> tuple[list[Column], list[Column]]:
-    """Aggregates for each household's first row, and how to name what they keep."""
-    keep = [c for c in keep if c not in keys]
-    if len(order) == 1 and isinstance(items.schema[order[0]].dataType, T.NumericType):
-        # One number that differs between the rows of a household: no struct to compare.
-        return [F.min_by(c, order[0]).alias(f"_first_{c}") for c in keep], [F.col(f"_first_{c}").alias(c) for c in keep]
-    # Kept values follow the order columns, so ties resolve the same way in every run.
-    sort = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
-    first = F.min(F.struct(*sort, *[F.col(c) for c in keep])).alias("_first")
-    return [first], [F.col(f"_first.{c}").alias(c) for c in keep]
-
-
 def with_post_strata(
     df: DataFrame, ps: DataFrame, on: Sequence[str] | None = None, null_safe: bool = True
 ) -> DataFrame:
@@ -91,8 +85,11 @@ def with_post_strata(
 
     NULL keys match each other unless ``null_safe`` is off; plain equality lets Spark
     reuse a partitioning by the same keys.  A key that occurs twice in ``ps`` would
-    multiply households, so it raises, at once, whatever is read of the result.  Spark
-    sizes the join: the lookup is broadcast only if it proves small.
+    multiply households, so it raises when the join runs, whatever is read of the result:
+    the lookup is grouped by its keys first, by the same shuffle that the join needs, and a
+    filter on the counts cannot be pruned.  Only a key that no task comes to read, behind the
+    last household's, may go unnoticed.  Spark sizes the join: the lookup is broadcast only
+    if it proves small.
     """
     keys = list(on) if on is not None else [c for c in df.columns if c in ps.columns]
     if not keys:
@@ -102,13 +99,21 @@ def with_post_strata(
     mixed = [k for k in keys if "string" in (ours[k], theirs[k]) and ours[k] != theirs[k]]
     if mixed:
         df, ps = ids_to_string(df, mixed), ids_to_string(ps, mixed)
-    matched = ps if null_safe else ps.dropna(subset=keys)
-    twice = matched.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    if not twice.isEmpty():
-        raise ValueError(f"post-strata have more than one row for the same {', '.join(keys)}")
+    if not null_safe:
+        ps = ps.dropna(subset=keys)
+    ps = _one_row_for_each_key(ps, keys)
     if not null_safe:
         return df.join(ps, keys)
     renamed = ps.withColumnsRenamed({k: f"_ps_{k}" for k in keys})
     other = [f"_ps_{k}" for k in keys]
     return df.join(renamed, same(df, renamed, keys, other)).drop(*other)
 
+
+
+def _one_row_for_each_key(ps: DataFrame, keys: list[str]) -> DataFrame:
+    """``ps``, of which reading a key that occurs twice raises."""
+    other = [c for c in ps.columns if c not in keys]
+    message = f"post-strata have more than one row for the same {', '.join(keys)}"
+    grouped = ps.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in other))
+    once = F.when(F.col("_n") > 1, F.raise_error(F.lit(message))).otherwise(F.lit(True))
+    return grouped.filter(once).select(*ps.columns)

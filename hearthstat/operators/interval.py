@@ -8,10 +8,10 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..workspace import hint_if, local_if_small, same
+from ..workspace import hint_if, local_if_small, same, session_space
 from .design import Design
 from .estimate import svy_estimates
-from .quantile import svy_quantile
+from .quantile import _log_cell, _long, first_cells, merged_cells, svy_quantile
 
 # Above this many degrees of freedom t quantiles come from a series in 1/df.
 TABLED_DF = 100
@@ -30,26 +30,20 @@ def svy_quantile_ci(
     The standard error of the share of rows at or below the quantile gives
     ``p -+ t * se``, with PSUs minus strata degrees of freedom; the quantiles there are
     the limits, and their distance over ``2 t`` is the standard error.
+
+    All rows are read once, for weights by PSU and cell of values, which are written to the
+    shared folder.  The quantile, the distribution function at it, its spread over PSUs and
+    both limits come from that table and from the rows of single cells.
     """
     by = list(by)
-    quantiles = svy_quantile(design, col, probs, by, na_rm)
+    spread = psu_cells(design, col, by)
+    cells = merged_cells(spread, by)
+    quantiles = svy_quantile(design, col, probs, by, na_rm, cells=cells)
     table, small = local_if_small(quantiles.filter(F.col("quantile").isNotNull()))
-    keys = [f"_q_{k}" for k in by]
-    table = table.withColumnsRenamed(dict(zip(by, keys)))
-    x = F.col(col).cast("double")
-    rows = design.df.filter(x.isNotNull())
-    if by:
-        rows = rows.join(hint_if(table, small), same(rows, table, by, keys))
-    else:
-        pairs = [F.struct(F.lit(r.p).alias("p"), F.lit(r.quantile).alias("quantile")) for r in table.collect()]
-        if not pairs:
-            return quantiles.select("*", *[_null(c) for c in ("ci_low", "ci_high", "se")])
-        rows = rows.select("*", F.inline(F.array(*pairs)))
+    if table.isEmpty():
+        return quantiles.select("*", *[_null(c) for c in ("ci_low", "ci_high", "se")])
     share = svy_estimates(
-        design.on(rows),
-        {"share": ("mean", F.when(x <= F.col("quantile"), 1.0).otherwise(0.0))},
-        [*by, "p"],
-        with_df=True,
+        design.on(_below(design, col, by, spread, table, small)), {"share": ("mean", "_below")}, [*by, "p"], with_df=True
     )
     t = t_quantile(1.0 - alpha / 2.0, F.col("df"))
     reach = t * F.col("share_se")
@@ -61,7 +55,7 @@ def svy_quantile_ci(
         share.select(*by, F.col("p").alias("p0"), t.alias("_t"), F.inline(sides)).withColumnRenamed("at", "p")
     )
     limits = (
-        svy_quantile(design, col, wanted, by, na_rm)
+        svy_quantile(design, col, wanted, by, na_rm, cells=cells)
         .groupBy(*by, F.col("p0").alias("p"), "_t")
         .agg(
             F.max(F.when(F.col("side") == "ci_low", F.col("quantile"))).alias("ci_low"),
@@ -76,6 +70,35 @@ def svy_quantile_ci(
     return quantiles.join(limits, same(quantiles, limits, keyed, other), "left").drop(*other)
 
 
+def psu_cells(design: Design, col: str, by: Sequence[str]) -> DataFrame:
+    """Staged ``(by, strata, psu, _cell, _w, _n, _lo, _hi)``: no more rows than the design, mostly far fewer."""
+    keys = list(dict.fromkeys([*by, design.strata, design.psu]))
+    rows = _long(design, col, keys)
+    return session_space(design.df.sparkSession).stage(first_cells(rows, keys), "psu_cells")
+
+
+def _below(design: Design, col: str, by, spread: DataFrame, table: DataFrame, small: bool) -> DataFrame:
+    """``_below``, 1 or 0, with weights, PSUs and strata, for every group and quantile of ``table``.
+
+    Cells on either side of a quantile's cell count as a whole; only the rows of that cell
+    are looked at one by one.
+    """
+    named = [f"_q_{k}" for k in by]
+    points = table.withColumnsRenamed(dict(zip(by, named))).withColumn("_at", _log_cell(F.col("quantile")))
+    keys = list(dict.fromkeys([*by, "p", design.strata, design.psu]))
+    cells = spread.filter(F.col("_cell").isNotNull())
+    far = same(cells, points, by, named) & (cells["_cell"] != points["_at"]) if by else cells["_cell"] != points["_at"]
+    ahead = cells.join(hint_if(points, small), far).select(
+        *keys, F.col("_w").alias(design.weight), F.when(F.col("_cell") < F.col("_at"), 1.0).otherwise(0.0).alias("_below")
+    )
+    rows = _long(design, col, list(dict.fromkeys([*by, design.strata, design.psu])))
+    here = same(rows, points, [*by, "_cell"], [*named, "_at"])
+    near = rows.join(hint_if(points, small), here).select(
+        *keys, F.col("_w").alias(design.weight), F.when(F.col("_x") <= F.col("quantile"), 1.0).otherwise(0.0).alias("_below")
+    )
+    return ahead.unionByName(near)
+
+
 def _null(name: str) -> Column:
     return F.lit(None).cast("double").alias(name)
 

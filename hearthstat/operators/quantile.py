@@ -20,6 +20,7 @@ of a cell never share a finer one, so each refinement makes cells smaller.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,6 +49,8 @@ def svy_quantile(
     rtol: float = RTOL,
     rule: str = "math",
     rows_per_cell: int = ROWS_PER_CELL,
+    whole: int | str | None = None,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """``(by, [variable], p, quantile)``.
 
@@ -56,21 +59,24 @@ def svy_quantile(
     further columns, which are kept in the result.  A NULL value makes the quantiles
     of its group NULL unless ``na_rm``; a NULL group is a group.  NaN counts as NULL.
     A probability asked twice is answered twice; without groups every probability has
-    a row, NULL for a table without rows.
+    a row, NULL for a table without rows.  ``whole`` names one more level of the only ``by``
+    column, of all rows: its cells are those of the groups added up, and no row is read for
+    it again.  ``cells`` are ``first_cells`` of the same rows and columns, if at hand.
 
     Stage ``design.df`` first if it is costly to compute: it is read once per step.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     by = list(by)
-    long = _long(design, cols, by)
+    if whole is not None and len(by) != 1:
+        raise ValueError("whole needs one group column")
+    long = Values(_long(design, cols, by), by[0] if whole is not None else None, whole)
     groups = by if isinstance(cols, str) else [*by, "variable"]
-    cells = long.groupBy(*groups, "_cell").agg(
-        F.sum("_w").alias("_w"),
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_x").alias("_lo"),
-        F.max("_x").alias("_hi"),
-    )
+    if cells is None:
+        cells = first_cells(long.df, groups)
+    if whole is not None:
+        both = F.array(by[0], F.lit(whole).cast(cells.schema[by[0]].dataType))
+        cells = merged_cells(cells.withColumn(by[0], F.explode(both)), groups)
     one_group = not groups and not isinstance(probs, DataFrame)
     found, rows = _evaluated(_first_cells(cells, groups, probs, na_rm, rtol), one_group)
     small = rows is not None
@@ -88,6 +94,38 @@ def svy_quantile(
     return local_if_small(answers, proven=True)[0] if small else answers
 
 
+@dataclass(frozen=True)
+class Values:
+    """Group columns, value, first-step cell and weight of the rows; which level of ``by`` holds all."""
+
+    df: DataFrame
+    by: str | None = None
+    whole: int | str | None = None
+
+    def belongs(self, bounds: DataFrame, keys: Sequence[str]) -> Column:
+        """Whether a row is in the group and first-step cell of a bound; every row is in the whole."""
+        others = [k for k in keys if k != self.by]
+        cond = same(self.df, bounds, others, [f"_f_{k}" for k in others])
+        if self.by is None:
+            return cond
+        theirs = bounds[f"_f_{self.by}"]
+        return cond & (self.df[self.by].eqNullSafe(theirs) | F.coalesce(theirs == F.lit(self.whole), F.lit(False)))
+
+
+def first_cells(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, _cell, _w, _n, _lo, _hi)``: weight, rows, least and largest value by cell of the logarithm."""
+    return rows.groupBy(*keys, "_cell").agg(
+        F.sum("_w").alias("_w"), F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+    )
+
+
+def merged_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells of finer groups added up to those of ``keys``."""
+    return cells.groupBy(*keys, "_cell").agg(
+        F.sum("_w").alias("_w"), F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
+    )
+
+
 def _in_order(answers: DataFrame, probs: Sequence[float]) -> DataFrame:
     """One row for each probability asked for, in its order."""
     values = {r["p"]: r["quantile"] for r in answers.collect()}
@@ -211,12 +249,12 @@ def _bounds(found: DataFrame, rows: pa.Table | None, groups) -> DataFrame:
     return cells.withColumnsRenamed({k: f"_f_{k}" for k in keys[:-2]})
 
 
-def _candidates(long: DataFrame, bounds: DataFrame, groups) -> DataFrame:
+def _candidates(long: Values, bounds: DataFrame, groups) -> DataFrame:
     """Rows inside the cells found, one copy per cell, with the cell's bounds."""
     keys = [*groups, "_cell"]
     inside = F.col("_x").between(F.col("_lo"), F.col("_hi"))
-    cond = same(long, bounds, keys, [f"_f_{k}" for k in keys]) & inside
-    return long.join(bounds, cond).select(*keys, "_lo", "_hi", "_x", "_w")
+    found = long.df.join(bounds, long.belongs(bounds, keys) & inside)
+    return found.select(*(F.col(f"_f_{k}").alias(k) for k in keys), "_lo", "_hi", "_x", "_w")
 
 
 def _reached(parts: DataFrame, found, cell_keys, order: str, last: Column, small, rtol) -> DataFrame:

@@ -21,6 +21,7 @@ from ..functions.thresholds import attach_threshold, gap, is_below
 from ..operators.design import Design
 from ..operators.estimate import point_estimates, svy_estimates
 from ..operators.frequency import calibrated_cells, crosstab, freq, mean_by, svy_table
+from ..operators.first_row import RowOrder
 from ..operators.household import FIRST_ROW_ORDER, household_base, na_sum, with_post_strata
 from ..operators.quantile import quantile_values, svy_quantile
 from ..workspace import Workspace
@@ -36,7 +37,7 @@ class Survey:
     conditions: DataFrame | None = None
     post_strata: DataFrame | None = None
     keys: Sequence[str] = HOUSEHOLD_KEYS
-    order: Sequence[str] = FIRST_ROW_ORDER
+    order: RowOrder | Sequence[str] = FIRST_ROW_ORDER
     post_strata_on: Sequence[str] | None = None
     null_safe: bool = True
     codes: dict[str, Collection[int]] = field(default_factory=lambda: dict(CODES))
@@ -87,8 +88,7 @@ def base_design(survey: Survey, codes: str, plus_one: bool) -> Design:
 
 def staged_design(survey: Survey, codes: str, plus_one: bool, space: Workspace) -> Design:
     """The base written once to the shared folder, and checked for missing design values."""
-    design = base_design(survey, codes, plus_one)
-    return design.on(space.stage(design.df, f"households_{codes}")).check()
+    return base_design(survey, codes, plus_one).staged(space, f"households_{codes}")
 
 
 def income_cuts(design: Design) -> list[float | None]:
@@ -297,10 +297,9 @@ def half_median_detail(base: TransportBase) -> Report:
         "dif_media": ("mean", "valor_total"),
     }
     table = point_estimates(poor, means, ["decil"])
-    # Every family counts in its decile and in the national group.
-    twice = poor.df.withColumn("decil", F.explode(F.array("decil", F.lit(NATIONAL))))
+    # The national cells are the deciles' cells added up.
     medians = (
-        svy_quantile(poor.on(twice), ["gasto_total", "valor_total"], [0.5], ["decil"])
+        svy_quantile(poor, ["gasto_total", "valor_total"], [0.5], ["decil"], whole=NATIONAL)
         .groupBy("decil")
         .agg(
             F.max(F.when(F.col("variable") == "gasto_total", F.col("quantile"))).alias("gasto_mediano"),

@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from ..operators.first_row import RowOrder
+from ..operators.numbering import row_in_task, starts
+from ..workspace import hint_if, local_if_small
 from .layouts import Field
 
-# Columns that give the order of lines in the files (see ``read_fwf``).
-FILE_ORDER = ("src_file", "src_block", "src_row")
+# The order of lines in the files (see ``read_fwf``).
+FILE_ORDER = RowOrder(("src_line",), {"src_line": 18}, unique=True)
+
+
+class FieldProblems:
+    """Blank and unreadable fields, counted by the pass that reads the lines.
+
+    Pass it to ``read_fwf``; after the first action on what that returns, ``table`` has the
+    counts.  A task that runs again after an executor is lost may count twice.
+    """
+
+    def __init__(self):
+        self._seen, self._names = Observation(), []
+
+    def attach(self, lines: DataFrame, layout: list[Field], texts: dict[str, Column]) -> DataFrame:
+        """Count on ``lines``, which hold the parsed fields and ``value``."""
+        self._names = [f.name for f in layout]
+        counts = []
+        for i, f in enumerate(layout):
+            text = texts[f.name]
+            counts.append(F.count_if(text.isNull()).alias(f"m{i}"))
+            counts.append(F.count_if(text.isNotNull() & F.col(f.name).isNull()).alias(f"u{i}"))
+        return lines.observe(self._seen, *counts)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``(field, n_missing, n_unreadable)``; waits for the first action."""
+        seen = self._seen.get
+        rows = [(name, seen.get(f"m{i}", 0), seen.get(f"u{i}", 0)) for i, name in enumerate(self._names)]
+        return spark.createDataFrame(rows, "field string, n_missing long, n_unreadable long")
 
 
 def read_fwf(
@@ -16,21 +46,48 @@ def read_fwf(
     layout: list[Field],
     na_strings: tuple[str, ...] = (),
     file_order: bool = False,
+    problems: FieldProblems | None = None,
 ) -> DataFrame:
     """Cut each line by ``layout``; blank, short, marked or unreadable fields become NULL.
 
-    ``file_order`` adds file name, byte offset of the split and a number that grows
-    along the split, which together sort lines as they stand in the files.
+    ``file_order`` adds ``src_line``: 1, 2, 3 ... along the lines of all files, files in order
+    of their paths.  It counts the lines of each split when called.  ``problems`` tells blank
+    fields from unreadable ones, without a pass of its own.
     """
-    lines = spark.read.text(path)
+    lines = _numbered_lines(spark, path) if file_order else spark.read.text(path)
+    number = ["src_line"] if file_order else []
     columns = [_field(F.col("value"), f, na_strings) for f in layout]
-    if file_order:
-        columns += [
-            F.col("_metadata.file_path").alias("src_file"),
-            F.col("_metadata.file_block_start").alias("src_block"),
-            F.monotonically_increasing_id().alias("src_row"),
-        ]
-    return lines.select(*columns)
+    if problems is None:
+        return lines.select(*columns, *number)
+    texts = {f.name: _text(F.col("_line"), f, na_strings) for f in layout}
+    parsed = lines.select(F.col("value").alias("_line"), *columns, *number)
+    return problems.attach(parsed, layout, texts).drop("_line")
+
+
+def _numbered_lines(spark: SparkSession, path) -> DataFrame:
+    """``value, src_line``: a line's place in its split, and the lines of all splits before that one.
+
+    A split is a file and the byte at which a task's share of it begins.  The counts are one
+    row for each split; no task reads more than its splits.
+    """
+    marked = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("src_file"),
+        F.col("_metadata.file_block_start").alias("src_block"),
+        row_in_task().alias("row"),
+        F.spark_partition_id().alias("task"),
+    )
+    splits = marked.groupBy("src_file", "src_block").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("row").alias("first"), F.min("task").alias("in_task")
+    )
+    numbered = starts(splits, ["src_file", "src_block"], "lines", "before").drop("lines")
+    table, small = local_if_small(numbered)
+    joined = marked.join(hint_if(table, small), ["src_file", "src_block"], "left")
+    # Splits are planned alike as long as files and settings stay; if not, nothing is numbered wrongly.
+    same = F.coalesce(F.col("task") == F.col("in_task"), F.lit(False))
+    line = F.when(same, F.col("before") + F.col("row") - F.col("first") + 1)
+    changed = F.raise_error(F.lit("files or split settings have changed since their lines were counted"))
+    return joined.select("value", line.when(~same, changed).alias("src_line"))
 
 
 def field_problems(
@@ -38,7 +95,8 @@ def field_problems(
 ) -> DataFrame:
     """``(field, n_missing, n_unreadable)``: blank or marked fields, and text that is no number.
 
-    ``read_fwf`` makes both NULL; this pass over the lines tells them apart.
+    ``read_fwf`` makes both NULL; this pass over the lines tells them apart.  ``FieldProblems``
+    counts the same while the lines are read.
     """
     lines = spark.read.text(path)
     counts = []

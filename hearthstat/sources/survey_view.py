@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.first_row import RowOrder
+
 HOUSEHOLD = ("household",)
 ITEM_COLUMNS = (
     "l_orderkey",
@@ -17,11 +19,11 @@ ITEM_COLUMNS = (
     "l_shipdate",
     "l_extendedprice",
 )
-# The first four columns are unique; as one number they order items without a sort.
-ITEM_ORDER = ("item_order",)
-_ITEM_ORDER = (
-    f"cast(l_orderkey as decimal(13)) * {10**24}BD + cast(l_linenumber as decimal(3)) * {10**21}BD"
-    f" + cast(l_partkey as decimal(12)) * {10**9}BD + l_suppkey"
+# The first four columns are unique.
+ITEM_ORDER = RowOrder(
+    ITEM_COLUMNS[:4],
+    {"l_orderkey": 12, "l_linenumber": 2, "l_partkey": 12, "l_suppkey": 10},
+    unique=True,
 )
 
 VIEW_FUEL = tuple(range(2300001, 2300006))
@@ -71,7 +73,7 @@ def expense_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
     families = _table(spark, sf_dir, "customer").select("c_custkey", *_named(_FAMILY))
     return (
-        lines.select(*ITEM_COLUMNS, *_named(_ITEM | {"item_order": _ITEM_ORDER}))
+        lines.select(*ITEM_COLUMNS, *_named(_ITEM))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(families, F.col("o_custkey") == F.col("c_custkey"))
         .withColumnRenamed("o_custkey", "household")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthstat.functions.thresholds import attach_threshold, gap, is_below
-from hearthstat.operators.design import Design, population_totals, post_stratify
+from hearthstat.operators.design import Design, calibration_factors, population_totals, post_stratify
 from hearthstat.operators.estimate import point_estimates, svy_estimates, svy_mean, svy_total
 from hearthstat.operators.frequency import calibrated_table, crosstab, freq, svy_table
 from hearthstat.operators.quantile import svy_quantile
@@ -66,6 +66,28 @@ def test_calibrated_table_equals_two_steps(design):
     assert {r.level: r.freq for r in short} == pytest.approx({r.level: r.freq for r in steps})
 
 
+def test_missing_post_strata_by_either_way(spark):
+    """A cell half of known and half of missing strata counts its known half; one without any is not listed."""
+    rows = [(1, 1, "P", 2.0, 6.0), (1, 1, None, 5.0, 5.0), (1, 2, None, 5.0, 5.0), (1, 3, "P", 1.0, 3.0), (1, 3, "Q", 4.0, None), (1, None, "P", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "answer int, level int, pos_estrato string, peso double, peso_final double")
+    design = Design(df)
+    expected = {1: 2 * 10 / 4, 3: 1 * 10 / 4}
+    short = {r.level: r.freq for r in calibrated_table(design, "level", "answer").collect()}
+    two = post_stratify(design, within=["answer"])
+    assert short == {r.level: r.freq for r in svy_table(two, ["answer", "level"]).collect()} == pytest.approx(expected)
+    assert two.df.count() == len(rows)
+    factors = {r.pos_estrato: r.factor for r in calibration_factors(design, within=["answer"]).collect()}
+    assert factors == {"P": 10 / 4, "Q": None, None: None}
+
+
+def test_design_check_while_staging(spark, space, design):
+    assert design.staged(space, "ok").df.count() == design.df.count()
+    assert design.on(design.df.limit(0)).staged(space, "none").df.count() == 0
+    broken = design.on(design.df.withColumn("peso", F.when(F.col("hh") != "h2", F.col("peso"))))
+    with pytest.raises(ValueError, match="na_weight': 1"):
+        broken.staged(space, "broken")
+
+
 @pytest.mark.parametrize(
     "factor, families, total, mean", [(1.0, 3, 50, 50 / 3), (0.5, 2, 10, 5)]
 )

@@ -134,3 +134,34 @@ def test_quantile_steps_read_value_and_weight_only(households):
         assert "ReadSchema: struct<decil:int,gasto_total:double,peso:double>" in text
         assert "partial_sum(_w" in text
         assert "Nested" not in text and "Cartesian" not in text
+
+
+def test_the_whole_adds_up_cells_and_reads_each_row_once(households):
+    """The level of all rows is made of merged cells: rows are not exploded, and scanned once a step."""
+    seen = []
+    whole = quantile.local_rows
+
+    def spy(df, *args, **kwargs):
+        seen.append(plan(df))
+        return whole(df, *args, **kwargs)
+
+    quantile.local_rows = spy
+    try:
+        answers = quantile.svy_quantile(households, "gasto_total", [0.5], ["decil"], whole=11)
+        assert answers.count() == 11
+    finally:
+        quantile.local_rows = whole
+    for text in seen:
+        assert text.count("FileScan parquet") <= 1 and "Nested" not in text and "Cartesian" not in text
+    first = seen[0].splitlines()
+    explode = next(i for i, line in enumerate(first) if "Generate explode" in line)
+    assert any("partial_sum(_w" in line for line in first[explode:])  # below it rows are merged to cells already
+
+
+def test_design_check_has_no_pass_of_its_own(spark, households, space):
+    """Missing design values are counted by the job that writes the base."""
+    spark.sparkContext.setJobGroup("staging", "one write")
+    households.staged(space, "again")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("staging")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 1

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from hearthstat.functions.deciles import PROBS
 from hearthstat.operators import quantile as module
@@ -178,3 +179,68 @@ def test_many_groups_are_refined_to_the_end(spark, monkeypatch):
 def test_the_widest_doubles(spark):
     x = [-1.7e308, -1e308, 1e308, 1.7e308]
     assert svy_quantile(frame(spark, x, [1, 1, 1, 1]), "x", [0.5], rows_per_cell=1).first().quantile == -1e308
+
+
+def test_the_whole_from_the_cells_of_its_groups(spark):
+    """One more level of all rows equals a run on all rows, also through refinements, and no row is doubled."""
+    rows = [(i % 4 if i % 9 else None, float((i * 7919) % 500) - 100 if i % 31 else 42.0, 1.0 + i % 3) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g int, x double, peso double").selectExpr("*", "1 as cod_upa", "1 as estrato_pof", "2 * x as y")
+    design = Design(df)
+    for per_cell in (1_000_000, 50):
+        both = svy_quantile(design, ["x", "y"], [0.1, 0.5], ["g"], whole=99, rows_per_cell=per_cell).collect()
+        alone = svy_quantile(design, ["x", "y"], [0.1, 0.5], rows_per_cell=per_cell).collect()
+        groups = svy_quantile(design, ["x", "y"], [0.1, 0.5], ["g"], rows_per_cell=per_cell).collect()
+        want = {(99, r.variable, r.p): r.quantile for r in alone} | {(r.g, r.variable, r.p): r.quantile for r in groups}
+        assert {(r.g, r.variable, r.p): r.quantile for r in both} == want and len(both) == len(want)
+    with pytest.raises(ValueError, match="one group column"):
+        svy_quantile(design, "x", [0.5], whole=99)
+
+
+def test_interval_by_brute_force(spark, space):
+    """Quantile, limits and error against plain Python, by group, where values repeat."""
+    import math
+    import random
+
+    rnd = random.Random(11)
+    rows = [(rnd.randrange(2), h, rnd.randrange(1, 4), float(rnd.randrange(0, 60)) ** 2 / 7, 1.0 + rnd.randrange(3)) for h in range(6) for _ in range(60)]
+    df = spark.createDataFrame(rows, "g int, estrato_pof int, cod_upa int, gasto double, peso double")
+    found = {(r.g, r.p): r for r in svy_quantile_ci(Design(df), "gasto", [0.25, 0.5], ["g"]).collect()}
+    everyone = {r.p: r for r in svy_quantile_ci(Design(df), "gasto", [0.25, 0.5]).collect()}
+
+    def reach(mine, p):
+        total = sum(w for *_, w in mine)
+        values = sorted({x for *_, x, _ in mine})
+        share = lambda x: sum(w for *_, v, w in mine if v <= x) / total
+        at = lambda s: next(x for x in values if share(x) >= s * (1 - 1e-12))
+        q = at(p)
+        f = share(q)
+        psus = {}
+        for _, h, i, x, w in mine:
+            psus[h, i] = psus.get((h, i), 0.0) + w * ((x <= q) - f) / total
+        variance = 0.0
+        for h in {h for h, _ in psus}:
+            z = [v for (k, _), v in psus.items() if k == h]
+            mean = sum(z) / len(z)
+            variance += len(z) / (len(z) - 1) * sum((v - mean) ** 2 for v in z)
+        t = TEXTBOOK_T[len(psus) - len({h for h, _ in psus})]
+        low, high = at(max(p - t * math.sqrt(variance), 0)), at(min(p + t * math.sqrt(variance), 1))
+        return q, low, high, (high - low) / (2 * t)
+
+    for p in (0.25, 0.5):
+        for r, mine in [(found[g, p], [x for x in rows if x[0] == g]) for g in (0, 1)] + [(everyone[p], rows)]:
+            q, low, high, se = reach(mine, p)
+            assert (r.quantile, r.ci_low, r.ci_high) == (q, low, high) and r.se == pytest.approx(se, rel=1e-4)
+
+
+# Two-sided 95 percent points of Student's distribution.
+TEXTBOOK_T = {1: 12.706, 2: 4.3027, 5: 2.5706, 10: 2.2281, 12: 2.1788, 20: 2.0860, 30: 2.0423, 60: 2.0003, 120: 1.9799}
+
+
+def test_textbook_t_values(spark):
+    from checks.oracles import student_t
+    from hearthstat.operators.interval import t_quantile
+
+    table = spark.createDataFrame([(df,) for df in TEXTBOOK_T], "df int")
+    for r in table.select("df", t_quantile(0.975, F.col("df")).alias("t")).collect():
+        assert r.t == pytest.approx(TEXTBOOK_T[r.df], abs=6e-5 if r.df > 1 else 6e-4)
+        assert student_t(r.df) == pytest.approx(r.t, rel=1e-9)

@@ -46,19 +46,38 @@ def test_round_trip_and_too_wide(spark, tmp_path):
         write_fwf(df.withColumn("name_code", F.lit(12345)), path, LAYOUT)
 
 
-def test_file_order_over_several_splits(spark, tmp_path):
-    numbers = list(range(3000))
-    path = tmp_path / "many.txt"
-    path.write_text("".join(f"{n % 100:2d}{n % 7:3d}{n:6d}{n:9d}\n" for n in numbers))
+def test_line_numbers_over_several_files_and_splits(spark, tmp_path):
+    """One number along all lines, whatever the splits and how tasks share them."""
+    numbers = iter(range(10_000))
+    for name, lines in (("b.txt", 3000), ("a.txt", 5), ("c.txt", 0), ("d.txt", 400)):
+        (tmp_path / name).write_text("")
+    for name, lines in (("a.txt", 5), ("b.txt", 3000), ("c.txt", 0), ("d.txt", 400)):
+        keys = [next(numbers) for _ in range(lines)]
+        (tmp_path / name).write_text("".join(f"{n % 100:2d}{n % 7:3d}{n:6d}{n:9d}\n" for n in keys))
+    for size, cost in (("8k", "0"), ("20k", "1"), ("128m", "4m")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        try:
+            df = read_fwf(spark, str(tmp_path), LAYOUT, file_order=True)
+            assert size != "8k" or df.rdd.getNumPartitions() > 4
+            assert dict(df.dtypes)["src_line"] == "bigint" and FILE_ORDER.columns == ("src_line",)
+            rows = df.collect()
+            assert sorted((r.src_line, r.key) for r in rows) == [(n + 1, n) for n in range(3405)]
+            assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_changed_splits_are_refused(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"{n % 100:2d}{n % 7:3d}{n:6d}{n:9d}\n" for n in range(2000)))
+    df = read_fwf(spark, str(tmp_path), LAYOUT, file_order=True)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        df = read_fwf(spark, str(path), LAYOUT, file_order=True)
-        assert df.rdd.getNumPartitions() > 2
-        assert [r.key for r in df.orderBy(*FILE_ORDER).collect()] == numbers
+        with pytest.raises(Exception, match="settings have changed"):
+            df.select("src_line").filter("src_line > 3").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_tables(spark, tmp_path):
@@ -76,7 +95,35 @@ def test_report_overwrites(spark, tmp_path):
     sinks.write_report({"One": sheet, "Two": sheet.limit(1)}, path)
     sinks.write_report({"One": sheet}, path)
     assert sorted(map(tuple, sinks.read_sheet(spark, path, "One").collect())) == [(1, 2.5), (2, None)]
-    assert spark.read.parquet(path).filter("sheet = 'Two'").count() == 0
+    assert sinks.read_sheet(spark, path, "Two").count() == 0
+    for i in range(3):
+        sinks.write_report({"One": sheet.limit(i)}, path)
+    assert sinks.read_report(spark, path).count() == 2
+    assert len([f for f in os.listdir(path) if f.startswith("version-")]) == 2
+
+
+def test_a_job_that_dies_leaves_the_previous_report(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "report")
+    with pytest.raises(FileNotFoundError, match="no report was published"):
+        sinks.read_sheet(spark, path, "One")
+    sheet = spark.createDataFrame([(1, 2.5), (2, None)], "decil int, value double")
+    dying = sheet.withColumn("value", F.when(F.col("decil") == 2, F.raise_error(F.lit("lost"))).otherwise(0.0))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_report({"One": dying.repartition(2)}, path)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_sheet(spark, path, "One")
+    sinks.write_report({"One": sheet}, path)
+    kept = sorted(map(tuple, sheet.collect()))
+    with pytest.raises(Exception, match="lost"):  # while the data are written
+        sinks.write_report({"One": dying.repartition(2), "Two": sheet}, path)
+    assert sorted(map(tuple, sinks.read_sheet(spark, path, "One").collect())) == kept
+    with monkeypatch.context() as m:  # after the data, before the change
+        m.setattr(sinks, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost driver")))
+        with pytest.raises(RuntimeError):
+            sinks.write_report({"One": sheet.limit(0)}, path)
+    assert sorted(map(tuple, sinks.read_sheet(spark, path, "One").collect())) == kept
+    sinks.write_report({"One": sheet.limit(1)}, path)
+    assert sinks.read_sheet(spark, path, "One").count() == 1
 
 
 def test_csv2(spark, tmp_path):
@@ -136,6 +183,19 @@ def test_unreadable_is_not_blank(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("a", 2, 1)]
 
 
+def test_problems_are_counted_while_reading(spark, tmp_path):
+    from hearthstat.sources.fixed_width import FieldProblems
+
+    (tmp_path / "lines.txt").write_text("12x4 1\n   4 2\n     3\nNA  xx\n12\n")
+    layout = layouts.parse_layout("a:4 b:2")
+    for file_order in (False, True):
+        problems = FieldProblems()
+        df = read_fwf(spark, str(tmp_path), layout, ("NA",), file_order, problems)
+        assert df.columns == ["a", "b", *["src_line"] * file_order]
+        assert df.filter("a is not null").count() == 2
+        assert sorted(map(tuple, problems.table(spark).collect())) == [("a", 2, 1), ("b", 1, 1)]
+
+
 def test_session_workspace_leaves_no_folder(spark, tmp_path, monkeypatch):
     import os
 
