@@ -94,7 +94,8 @@ def op7_ngram_jaccard_join(spark, sf_dir):
 @query
 def op10_suffix_array_dedup(spark, sf_dir):
     cleaned = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cleaned.select("doc_id", *(f"_dedup.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+    counts = (f"_dedup.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    return cleaned.select("doc_id", *counts, F.col("_dedup.kept").alias("text"))
 
 
 @query

@@ -141,7 +141,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     shards = max(1, -(-size // shard_bytes))
     parts = chosen.select("uid", F.struct(F.pmod("group", F.lit(shards)).alias("shard"), "a", "b").alias("_p")).distinct()
     parts = parts.groupBy("uid").agg(F.collect_list("_p").alias("parts"))  # at most a text's own anchors
-    segments = rows.join(parts, "uid").select("uid", "text", "parts").mapInArrow(_segments, "shard long, uid long, start int, bytes binary")
+    # Repeated rows go where the join has put them anyway.
+    texts = rows.join(parts, "uid").dropDuplicates(["uid"]).select("uid", "text", "parts")
+    segments = texts.mapInArrow(_segments, "shard long, uid long, start int, bytes binary")
     sorted_ = segments.groupBy("shard").applyInArrow(_sorted_shard(length), "uid long, a int, b int")
     return whole.union(staged(sorted_, "repeats"))
 
@@ -260,14 +262,18 @@ def cut(column: pa.Array, spans: pa.Array, over_words: int = -1, any_words: int
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", over_words: int = -1, **options) -> DataFrame:
-    """``docs`` with one more column ``_dedup``: the struct of ``cut`` for each row; ``over_words`` is as there."""
-    keyed = docs.withColumn("_uid", F.xxhash64(id_col, text_col))
-    rows = keyed.select(F.col("_uid").alias("uid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """``docs`` with one more column ``_dedup``: the struct of ``cut`` for each row; ``over_words`` is as there.
+
+    Columns of ``docs`` may have any names but ``_dedup``.
+    """
+    text = F.col(text_col)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(id_col, text_col).alias("uid"), text.alias("text"))
+    rows = keyed.select("uid", F.coalesce("text", F.lit("")).alias("text"))
     spans = repeated_spans(rows, **options).distinct()
-    spans = spans.groupBy(F.col("uid").alias("_u")).agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
-    joined = keyed.join(spans, keyed["_uid"] == spans["_u"], "left")
+    spans = spans.groupBy(F.col("uid").alias("owner")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    joined = keyed.join(spans, keyed["uid"] == spans["owner"], "left")
 
     def removed(column: pa.Array, spans: pa.Array) -> pa.Array:
         return cut(column, spans, over_words)
 
-    return joined.select(*docs.columns, F.arrow_udf(removed, CUT)(F.col(text_col), F.col("_spans")).alias("_dedup"))
+    return joined.select("row.*", F.arrow_udf(removed, CUT)("text", "spans").alias("_dedup"))

@@ -70,3 +70,30 @@ def test_empty_and_clashing_columns(spark, odd_docs):
     removed = sorted(r._dedup.n_removed for r in rows if r.doc_id in (6, 8))
     assert len(rows) == 11 and removed[0] == removed[1] > 0
     assert all(r._dedup.n_removed == 0 for r in rows if r.doc_id not in (6, 7, 8))
+
+
+def test_names_used_inside_stay_what_they_are(spark, odd_docs):
+    named = odd_docs.selectExpr("doc_id", "text", "n_chars AS uid", "lang AS _uid", "source AS spans", "node AS _spans", "length AS owner", "length AS row", "lang AS _u")
+    rows = suffix_dedup.deduplicated(named)
+    assert rows.columns == [*named.columns, "_dedup"]
+    assert {(r._uid, r.spans, r._spans, r.owner, r.row, r.uid) for r in rows.collect()} == {("en", "s", "x", 2, 2, 1)}
+
+
+def test_copies_of_a_row_send_one_piece(spark, monkeypatch):
+    """3,000 equal rows with a shared passage: the shard gets the pieces of different rows only."""
+    rng = np.random.default_rng(6)
+    shared = prose(rng, 60)
+    rows = [(1, prose(rng, 30) + shared + prose(rng, 30))] * 3000 + [(i, prose(rng, 30) + shared + prose(rng, 30)) for i in (2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    seen = []
+    whole = suffix_dedup._sorted_shard
+
+    def spied(length):
+        seen.append(length)
+        return whole(length)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_shard", spied)
+    found = suffix_dedup.deduplicated(docs, length=100, gram=40).collect()
+    assert seen and len(found) == 3003
+    assert all(r._dedup.n_removed == r._dedup.n_bytes for r in found if r.doc_id == 1)  # copies of each other
+    assert all(len(shared.encode()) <= r._dedup.n_removed < r._dedup.n_bytes for r in found if r.doc_id > 1)
