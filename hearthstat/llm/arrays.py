@@ -110,7 +110,7 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
     at = np.arange(begins[-1]) + np.repeat(first[:-1] - begins[:-1], counts)
     out = np.zeros(len(at), np.uint64)
     for i in range(k):
-        out += hashes[at + i] * np.uint64(_STEP[i])
+        out += hashes[at + i] * np.uint64(_STEP[i] if i < len(_STEP) else pow(_BASE, i + 1, 1 << 64))
     return mixed(out), begins
 
 

@@ -13,7 +13,9 @@ sketch bears only on cost, any order gives the same links.
 3. Candidates are the pairs of classes from different components that share a prefix n-gram
    under the first order, at places that leave enough n-grams behind, and under each further
    order, intersected before verification.  Pairs inside a component need none: they cannot
-   change components.
+   change components.  Before a pair of the first order is written at all, the parities of both
+   sets are compared: each n-gram flips one of ``BITS`` bits, so two sets differ in at least
+   as many n-grams as bits, and linked sets differ in few.  No link is lost by that.
 4. Candidates are verified on the texts; components are joined again.
 
 N-grams are compared by 64-bit hashes of their words, A-Z lower-cased.
@@ -26,20 +28,23 @@ has an id; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrays import mixed, prefix_sums, span_hashes, text_slices, window_hashes, words
 from .components import components
 from .staging import forget, staged
 
 K, PERCENT = 3, 90
-ORDERS = 2  # under which candidates must share a prefix n-gram
+ORDERS = 3  # under which candidates must share a prefix n-gram
 LEADS = 4  # orders whose first n-gram groups classes for step 2
 COUNTERS, BLOCK = 1 << 20, 1 << 12
+BITS = 512  # of a set's parities
+_PARITY = [f"s{i}" for i in range(BITS // 64)]
 
 
 def sets(column, k: int = K):
@@ -92,7 +97,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     read = staged(_read(rows, k), "sets")
     members = read.filter("block is null").select("id", "uid", "node", "n")
     orders = Orders(_counters(read))
-    classes = staged(members.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.min("uid").alias("uid"), F.max("n").alias("n")), "classes")
+    parities = [F.max(c).alias(c) for c in _PARITY]  # a class has one set
+    classes = staged(read.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.min("uid").alias("uid"), F.max("n").alias("n"), *parities), "classes")
     prefixes = staged(_prefixes(rows, orders, k, percent), "prefixes")
 
     leads = prefixes.filter("rank = 0").select("ord", "token", "node", "n").distinct()
@@ -105,13 +111,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = prefixes.filter("ord = 0").select("token", "node", "n", "rank")
     placed = _shared(first, "node").join(near, "node", "left")
     placed = placed.select("token", "node", "n", "rank", F.coalesce("component", "node").alias("component"))
-    placed = staged(_shared(placed.distinct(), "component"), "candidates")
+    placed = _shared(placed.distinct(), "component").join(classes.select("node", *_PARITY), "node")
+    placed = staged(placed, "candidates")
     forget(prefixes)
-    a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"))
-    b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"))
+    a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"), *(F.col(c).alias(f"{c}a") for c in _PARITY))
+    b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"), *(F.col(c).alias(f"{c}b") for c in _PARITY))
+    differing = functools.reduce(Column.__add__, (F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in _PARITY))
+    # Linked sets of na and nb differ in (100 - percent) / (100 + percent) of na + nb at most.
+    near_enough = differing * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
     # From the first common n-gram on, both sets still hold all that they share.
     enough = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    pairs = _alike(a.join(b, "token").filter("a < b and ca <> cb").filter(enough), percent).distinct()
+    pairs = _alike(a.join(b, "token").filter("a < b and ca <> cb").filter(enough).filter(near_enough), percent).distinct()
     pairs = staged(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     links = links.union(_verified(pairs, rows, classes, orders, k, percent))
     whole = staged(components(links), "components")
@@ -133,19 +143,28 @@ def _node(grams: np.ndarray) -> np.ndarray:
     return mixed(np.array([mixed(grams).sum(dtype=np.uint64) ^ np.uint64(len(grams))], np.uint64))
 
 
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """One bit for each of ``BITS`` classes of n-grams: whether the set has an odd number of them."""
+    odd = np.bincount((grams >> np.uint64(24) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _read(rows: DataFrame, k: int) -> DataFrame:
-    """A row (id, uid, node, n) for each document; each task's frequency counters, a row for each block."""
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, uid long, node long, n long, block int, counts array<int>"
+    """A row (id, uid, node, n, parities) for each document; each task's frequency counters, a row for each block."""
+    parities = ", ".join(f"{c} long" for c in _PARITY)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, uid long, node long, n long, block int, counts array<int>, {parities}"
+    names = ["id", "uid", "node", "n", "block", "counts", *_PARITY]
     kind = pa.list_(pa.int32())
 
     def read(batches):
         counters = np.zeros(COUNTERS, np.int64)
         id_type = None
         for batch in batches:
-            id_type, nodes, sizes, held, size = batch.column(0).type, [], [], [], 0
+            id_type, nodes, sizes, odd, held, size = batch.column(0).type, [], [], [], [], 0
             for grams in sets(batch.column(2), k):
                 nodes.append(_node(grams)[0] if len(grams) else np.uint64(0))
                 sizes.append(len(grams))
+                odd.append(_parities(grams))
                 held.append(grams)
                 size += len(grams)
                 if size > 1 << 19:
@@ -156,11 +175,12 @@ def _read(rows: DataFrame, k: int) -> DataFrame:
             n = batch.num_rows
             sizes = np.array(sizes, np.int64)
             node = pa.array(np.array(nodes, np.uint64).view(np.int64), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(sizes), pa.nulls(n, pa.int32()), pa.nulls(n, kind)], names=["id", "uid", "node", "n", "block", "counts"])
+            odd = np.array(odd, np.int64).reshape(n, len(_PARITY))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(sizes), pa.nulls(n, pa.int32()), pa.nulls(n, kind), *map(pa.array, odd.T)], names=names)
         if id_type is not None:
             m = COUNTERS // BLOCK
             counts = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * BLOCK, pa.int32()), pa.array(np.minimum(counters, 2**31 - 1), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.array(np.arange(m), pa.int32()), counts], names=["id", "uid", "node", "n", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.array(np.arange(m), pa.int32()), counts, *(pa.nulls(m, pa.int64()) for _ in _PARITY)], names=names)
 
     return rows.mapInArrow(read, schema)
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from hearthstat.llm import jaccard_join
 from hearthstat.llm.jaccard_join import ngram_jaccard_join
 
 from .conftest import folded, prose, split_words
@@ -12,8 +13,8 @@ def gram_set(text, k=3):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
-def brute(rows, percent=90):
-    sets = [gram_set(t) for _, t in rows]
+def brute(rows, percent=90, k=3):
+    sets = [gram_set(t, k) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -55,5 +56,53 @@ def test_against_all_pairs(spark, odd_rows):
     assert got == sorted(brute(rows), key=key)
 
 
+def test_one_prefix_group_of_a_thousand_texts(spark, monkeypatch):
+    """All share prefix n-grams, few link: the sets' parities keep nearly all pairs from being written."""
+    rng = np.random.default_rng(9)
+    base = prose(rng, 80).split()
+    places = np.arange(4, 80, 5)
+    # Two words for each of 16 places, of 11 of which no two texts have all alike.
+    choices = {}
+    while len(choices) < 1000:
+        code = tuple(rng.integers(0, 2, 16))
+        choices.setdefault(code[:11], code)
+    rows = []
+    for i, code in enumerate(choices.values()):
+        words = list(base)
+        for at, other in zip(places, code):
+            words[at] = f"other{at}" if other else words[at]
+        rows.append((i, " ".join(words)))
+    want = sorted((d, c) for d, _, c in brute(rows))
+    written, whole = {}, jaccard_join.staged
+
+    def counted(df, name):
+        out = whole(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    found = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == want
+    assert written["candidates"] >= 1000 and written["pairs"] < 20_000 < 1000 * 999 / 2, written
+
+
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(10)
+    for n in (1, 5, 80, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64))))
+        apart = len(np.setxor1d(a, b))
+        bits = sum(int(x).bit_count() for x in (jaccard_join._parities(a) ^ jaccard_join._parities(b)).view(np.uint64))
+        assert bits <= apart and (bits - apart) % 2 == 0
+
+
+def test_long_shingles(spark):
+    rng = np.random.default_rng(12)
+    base = prose(rng, 90).split()
+    rows = [(i, " ".join([*base[:i], "new", *base[i:]])) for i in range(0, 90, 15)] + [(99, prose(rng, 50))]
+    found = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=8, percent=70).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute(rows, 70, 8))
+
+
 def test_empty_table(spark):
     assert ngram_jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
