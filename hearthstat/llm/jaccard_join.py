@@ -13,7 +13,8 @@ sketch bears only on cost, any order gives the same links.
 3. Candidates are the pairs of classes from different components that share a prefix n-gram
    under the first order, at places that leave enough n-grams behind, and under each further
    order, intersected before verification.  Pairs inside a component need none: they cannot
-   change components.  Before a pair of the first order is written at all, the parities of both
+   change components; so one class of each group is compared with the others first, in up to
+   ``ROUNDS`` rounds, which leaves few components to a group of near copies.  Before a pair of the first order is written at all, the parities of both
    sets are compared: each n-gram flips one of ``BITS`` bits, so two sets differ in at least
    as many n-grams as bits, and linked sets differ in few.  No link is lost by that.
 4. Candidates are verified on the texts; components are joined again.
@@ -42,6 +43,7 @@ from .staging import forget, staged
 K, PERCENT = 3, 90
 ORDERS = 3  # under which candidates must share a prefix n-gram
 LEADS = 4  # orders whose first n-gram groups classes for step 2
+ROUNDS = 2  # in which a class of each prefix group is compared with all others of it
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 BITS = 512  # of a set's parities
 _PARITY = [f"s{i}" for i in range(BITS // 64)]
@@ -109,20 +111,23 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = staged(components(links), "components")
 
     first = prefixes.filter("ord = 0").select("token", "node", "n", "rank")
-    placed = _shared(first, "node").join(near, "node", "left")
-    placed = placed.select("token", "node", "n", "rank", F.coalesce("component", "node").alias("component"))
-    placed = _shared(placed.distinct(), "component").join(classes.select("node", *_PARITY), "node")
+    placed = _shared(_in_components(_shared(first, "node"), near), "component").join(classes.select("node", *_PARITY), "node")
     placed = staged(placed, "candidates")
     forget(prefixes)
-    a = placed.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"), *(F.col(c).alias(f"{c}a") for c in _PARITY))
-    b = placed.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"), *(F.col(c).alias(f"{c}b") for c in _PARITY))
-    differing = functools.reduce(Column.__add__, (F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in _PARITY))
-    # Linked sets of na and nb differ in (100 - percent) / (100 + percent) of na + nb at most.
-    near_enough = differing * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
-    # From the first common n-gram on, both sets still hold all that they share.
-    enough = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    pairs = _alike(a.join(b, "token").filter("a < b and ca <> cb").filter(enough).filter(near_enough), percent).distinct()
-    pairs = staged(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for seed in range(ROUNDS):
+        # Every group's classes against one of them: at most a pair for each row.
+        pivots = placed.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(seed))).alias("pivot"))
+        pivots = placed.join(pivots, "token").filter("node = pivot").drop("pivot")
+        pairs = staged(_pairs(pivots, placed, percent, "a <> b").join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = staged(_verified(pairs, rows, classes, orders, k, percent), "links")
+        if found.isEmpty():
+            break
+        links, tried = links.union(found), tried.union(pairs)
+        again = placed.drop("component")
+        placed, old = staged(_shared(_in_components(again, staged(components(links), "components")), "component"), "candidates"), placed
+        forget(old)
+    pairs = staged(_pairs(placed, placed, percent, "a < b").join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.union(_verified(pairs, rows, classes, orders, k, percent))
     whole = staged(components(links), "components")
 
@@ -232,6 +237,30 @@ def _alike(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
 
 
+def _in_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with the component of their ``node``, which is the node itself if it has no link."""
+    joined = rows.join(found, "node", "left")
+    return joined.select(*rows.columns, F.coalesce("component", "node").alias("component")).distinct()
+
+
+def _pairs(left: DataFrame, right: DataFrame, percent: int, which: str) -> DataFrame:
+    """Classes of different components with a common prefix n-gram that may be linked, the lower one as ``a``."""
+
+    def side(rows, name):
+        return rows.select("token", F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "rank", "component", *_PARITY)))
+
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    # From the first common n-gram on, both sets still hold all that they share.
+    enough = F.least(n_a - F.col("rank_a"), n_b - F.col("rank_b")) * (100 + percent) >= (n_a + n_b) * percent
+    differing = functools.reduce(Column.__add__, (F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _PARITY))
+    # Linked sets differ in (100 - percent) / (100 + percent) of both sizes' sum at most.
+    near_enough = differing * (100 + percent) <= (n_a + n_b) * (100 - percent)
+    joined = side(left, "a").join(side(right, "b"), "token").filter(which).filter("component_a <> component_b")
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    kept = joined.filter(sized).filter(enough).filter(near_enough)
+    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _shared(prefixes: DataFrame, by: str) -> DataFrame:
     """Rows whose token occurs with several values of ``by``."""
     tokens = prefixes.groupBy("token").agg(F.min(by).alias("_low"), F.max(by).alias("_high")).filter("_low <> _high").select("token")
