@@ -45,7 +45,7 @@ def op8_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     field = quality.fit(docs, table(spark, sf_dir, "labels"))
     judged = docs.select("doc_id", quality.judge("text", field).alias("j"))
-    return judged.select("doc_id", *(f"j.{c}" for c in quality.COUNTS), "j.base_failed", "j.kept", "j.n_lines", "j.content_words")
+    return judged.select("doc_id", *(f"j.{c}" for c in quality.COUNTS), "j.base_failed", "j.kept", "j.n_lines", "j.content_lines", "j.content_words")
 
 
 @query
