@@ -12,10 +12,21 @@ from hearthstat.workspace import Workspace
 _spaces: dict[str, Workspace] = {}
 
 
+# What Python workers are started with: large blocks go back to the system when they are freed.
+WORKER_MEMORY = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "1",
+    "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(2 << 20),
+}
+
+
 def small_batches(spark: SparkSession) -> SparkSession:
     """Hand texts to Python in batches of a few MB, so that a worker's memory stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     return spark
 
 
