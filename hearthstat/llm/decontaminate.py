@@ -4,21 +4,24 @@ Texts and items are compared in a plain form: A-Z lower-cased, each run of white
 ASCII punctuation one space.  A text holds an item when some stretch of it is within
 ``ERRORS`` (a fifth) of the item's length in edits, counted on bytes of the plain form.
 
-1. Windows begin at every word and have the length classes of the items (a tenth apart).
-2. A window goes on if it has enough ``GRAM``-byte strings of the items.  A stretch with a
-   fifth of its bytes changed at random keeps about 7 percent of them; ``DENSITY`` asks for
-   3 percent, at least 2 strings, some in its first third, its last and between, and for
-   nine tenths of the most that one of ``NEAR`` windows to either side has.
-3. The CGK walk embeds windows and items: at each step it writes the current byte, and moves
-   on or stays by a random bit of step and byte.  Few edits become few differing places.
-   ``WALKS`` walks with ``SAMPLES`` samples of ``PLACES`` places each form the tables; a
-   window and an item that agree in all places of one sample are candidates.  A stretch
-   whose embedding differs in half of the places is then found with probability
-   1 - (1 - 0.5**5)**72 = 0.9 from one window, and several windows cover it.
-
-Recall of 2 and 3 together, measured on items edited at random byte by byte: all unedited
-ones, 0.97 with a twentieth of the bytes edited (the target is 0.95), 0.8 with a tenth, 0.55
-with 15 in 100.
+1. Windows begin at every word of a text and at every character of three bytes or more.  The
+   CGK walk embeds a window: at each step it writes the current byte, and moves on or stays by a
+   random bit of step and byte.  Few edits become few differing places, two texts that have
+   nothing in common agree in about ``CHANCE`` of them.  ``WALKS`` walks of ``STEPS`` steps read
+   about ``STEPS / 2`` bytes.  Items have such windows at every word too, so that an item is
+   found by any of its parts, also if its beginning is edited, missing or run into other text.
+2. A sample is a few places of all walks.  A window of a text and one of an item that agree in all
+   places of a sample are candidates.  The number of places grows with the logarithm of the
+   windows of items, so that chance agreements stay rare, and the number of samples follows: a
+   window whose embedding agrees in half of the places is found with ``ENTRY_RECALL``, and an item
+   with few windows is in so many samples that ``EXPECTED`` of them agree.
+3. Candidates go on if they agree in ``HAMMING`` of ``CHECKED`` places, and then if a walk over the
+   whole item, to its end and to its beginning, agrees with the text in ``WHOLE`` of its places.
+   A fifth of edits leaves 0.4 and more.
+
+Recall of 1 to 3 together, on items that are within the limit after random edits byte by byte or
+in one place: above 0.95 at 5, 10, 15 and 18 percent (tested; README has the figures).  No text is
+left out before step 2.
 
 4. Candidates are verified with the exact edit distance of item and stretch.
 
@@ -39,13 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .arrays import _INVERSE, mixed, powers, prefix_sums, span_hashes, text_slices
+from .arrays import prefix_sums, span_hashes, text_slices
 
-ERRORS = 0.2
-GRAM, DENSITY, NEAR, SHORT = 12, 0.03, 8, 30
-WALKS, SAMPLES, PLACES, STRETCH = 6, 12, 5, 2
+ERRORS, SHORT = 0.2, 30
+WALKS, STEPS = 5, 64
+CHANCE, AGREE, ENTRY_RECALL, EXPECTED = 0.12, 0.5, 0.15, 1.6
+CHECKED, HAMMING, WHOLE = 128, 0.35, 0.33
+BLOCK, PAIRS = 1 << 14, 1 << 17
 ITEMS = 5000
-_TABLE_BITS, SLICE = 22, 4 << 20
+SLICE = 4 << 20
 
 
 def _plain_table() -> np.ndarray:
@@ -96,8 +101,15 @@ def edit_distance_within(pattern: bytes, text: bytes) -> int:
     return best
 
 
+def window_starts(data: np.ndarray) -> np.ndarray:
+    """Where windows begin: after a space, and at characters of three bytes or more, which need no spaces."""
+    first = data != 32
+    first[1:] &= (data[:-1] == 32) | (data[1:] >= 0xE0)
+    return np.flatnonzero(first)
+
+
 class Index:
-    """The items of one block: their strings, length classes and tables of sampled places."""
+    """The items of one block: embedded windows from each of their words, and the tables of samples."""
 
     def __init__(self, items: list[tuple[object, str | None]], seed: int = 7):
         self.ids, self.items = [], []
@@ -108,74 +120,64 @@ class Index:
             if len(data) > 2:
                 self.ids.append(item_id)
                 self.items.append(data[1:-1].tobytes() if len(data) >= SHORT + 2 else data.tobytes())
-        self.known = np.zeros((2, 1 << _TABLE_BITS), bool)
-        self.classes: dict[int, list[int]] = defaultdict(list)
+        self.sizes = np.array([len(item) for item in self.items], np.int64)
+        # Byte 0 never occurs in plain form, so that nothing agrees beyond an item.
+        self.text = np.frombuffer(bytes(STEPS).join([b"", *self.items, b""]), np.uint8)
+        self.begin = np.cumsum(self.sizes + STEPS) - self.sizes
+        entries = []
         for i, item in enumerate(self.items):
             data = np.frombuffer(item, np.uint8)
             if len(item) < SHORT:
                 h = int(span_hashes(prefix_sums(data, False), np.array([0]), np.array([len(data)]))[0])
                 self.short[len(item)][h].append(i)
                 continue
-            for table, slots in zip(self.known, self._slots(data)):
-                table[slots] = True
-            self.classes[int(round(1.1 ** round(np.log(len(item)) / np.log(1.1))))].append(i)
-        self.rng = np.random.default_rng(seed)
-        longest = max(self.classes, default=0)
-        self.moves = self.rng.integers(0, 2, (WALKS, STRETCH * longest, 257), dtype=np.int8)
-        self.tables, self.sorted_keys, self.places = {}, {}, {}
-        for size, members in self.classes.items():
-            self.places[size] = np.sort(self.rng.integers(0, STRETCH * size, (WALKS, SAMPLES * PLACES)), axis=1)
-            order = self.rng.permuted(np.tile(np.arange(SAMPLES * PLACES), (WALKS, 1)), axis=1)
-            self.places[size] = (self.places[size], order)
-            text = np.frombuffer(b"".join(self.items[i] for i in members), np.uint8)
-            lengths = np.array([len(self.items[i]) for i in members])
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            table = defaultdict(list)
-            for j, keys in enumerate(self.keys(text, {size: (starts, starts + lengths)})[size]):
-                for key in keys.tolist():
-                    table[key].append(members[j])
-            self.tables[size] = dict(table)
-            self.sorted_keys[size] = np.array(sorted(table), np.uint64)
-
-    @staticmethod
-    def _slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two places of each string of ``GRAM`` bytes."""
-        n = len(data) - GRAM + 1
-        sums = prefix_sums(data, False)
-        hashes = mixed((sums[GRAM:] - sums[:-GRAM]) * powers(_INVERSE, n))
-        return (hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64), (hashes & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
-
-    def keys(self, text: np.ndarray, windows: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
-        """Keys of the samples of the windows (starts, ends) of each class; all classes walk together."""
-        sizes = sorted(windows, reverse=True)
-        begin = np.cumsum([0, *(len(windows[s][0]) for s in sizes)])
-        starts = np.concatenate([windows[s][0] for s in sizes])
-        ends = np.concatenate([windows[s][1] for s in sizes])
-        out = {s: np.zeros((len(windows[s][0]), WALKS * SAMPLES), np.uint64) for s in sizes}
+            at = np.union1d([0], window_starts(data))
+            at = at[(at == 0) | (at <= len(item) - STEPS // 2)]
+            entries.append(np.column_stack((np.full(len(at), i), at)))
+        self.owner, self.place = np.concatenate(entries).T if entries else np.zeros((2, 0), np.int64)
+        rng = np.random.default_rng(seed)
+        self.moves = rng.integers(0, 2, (WALKS, STEPS, 256), dtype=np.int64)
+        self.far = rng.integers(0, 2, (2 * int(self.sizes.max(initial=0)), 256), dtype=np.int64)
+        places = max(5, 7 + round(float(np.log(max(len(self.owner), 1) / 6000) / np.log(1 / CHANCE))))
+        windows = np.bincount(self.owner, minlength=len(self.items))[self.owner]
+        enough = np.ceil(np.maximum(-np.log(1 - ENTRY_RECALL), EXPECTED / windows) / AGREE**places)
+        samples = int(enough.max(initial=0))
+        self.samples = [rng.choice(WALKS * STEPS, places, replace=False) for _ in range(samples)]
+        self.weights = rng.integers(0, 1 << 31, (samples, places), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.checked = np.sort(rng.choice(WALKS * STEPS, CHECKED, replace=False))
+        seen = self.embedded(self.text, self.begin[self.owner] + self.place)
+        self.seen = seen[self.checked]
+        self.bits = min(21, int(len(self.owner)).bit_length() + 5)
+        self.tables, self.known = [], np.zeros((samples, 1 << self.bits), bool)
+        for j in range(samples):
+            members = np.flatnonzero(enough > j).astype(np.int32)
+            keys = self.keys(seen, j)[members]
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((keys[order], members[order]))
+            self.known[j, keys[order] >> np.uint32(32 - self.bits)] = True
+
+    def embedded(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Bytes that the walks write from each start: one row for each step of each walk."""
+        seen = np.empty((WALKS * STEPS, len(starts)), np.uint8)
+        move = np.empty(len(starts), np.int64)
         for w in range(WALKS):
-            seen = np.zeros((len(starts), SAMPLES * PLACES), np.int16)
-            record = defaultdict(list)
-            for i, s in enumerate(sizes):
-                for k, t in enumerate(self.places[s][0][w].tolist()):
-                    record[t].append((i, k))
-            at, active = starts.copy(), len(sizes)
-            last = [int(self.places[s][0][w][-1]) for s in sizes]
-            for t in range(max(last) + 1):
-                while last[active - 1] < t:
-                    active -= 1
-                m = begin[active]
-                symbol = np.where(at[:m] < ends[:m], text[np.minimum(at[:m], len(text) - 1)], 256)
-                for i, k in record.get(t, ()):
-                    seen[begin[i] : begin[i + 1], k] = symbol[begin[i] : begin[i + 1]]
-                at[:m] += self.moves[w, t, symbol]
-            for i, s in enumerate(sizes):
-                mine = seen[begin[i] : begin[i + 1]][:, self.places[s][1][w]].astype(np.uint64)
-                for j in range(SAMPLES):
-                    key = np.full(len(mine), w * SAMPLES + j + 1, np.uint64)
-                    for p in range(PLACES):
-                        key = key * np.uint64(257) + mine[:, j * PLACES + p]
-                    out[s][:, w * SAMPLES + j] = key
-        return out
+            at = starts.astype(np.int64)
+            for t in range(STEPS):
+                row = seen[w * STEPS + t]
+                np.take(text, at, out=row, mode="clip")
+                np.take(self.moves[w, t], row, out=move, mode="clip")
+                at += move
+        return seen
+
+    def keys(self, seen: np.ndarray, sample: int) -> np.ndarray:
+        """The places of one sample as one number for each window."""
+        key = np.zeros(seen.shape[1], np.uint32)
+        part = np.empty_like(key)
+        for place, weight in zip(self.samples[sample], self.weights[sample]):
+            np.multiply(seen[place], weight, out=part, dtype=np.uint32)
+            key += part
+        key *= np.uint32(0x9E3779B1)
+        return key
 
     def matches(self, column):
         """Yield for each row its matches {index of item: distance}."""
@@ -183,7 +185,7 @@ class Index:
             offsets, data = plain(offsets, data)
             found: list[dict[int, int]] = [{} for _ in range(len(offsets) - 1)]
             self._short_matches(offsets, data, found)
-            if self.classes and len(data) >= GRAM:
+            if len(self.owner) and len(data):
                 self._long_matches(offsets, data, found)
             yield from found
 
@@ -200,63 +202,86 @@ class Index:
                     if self.items[item] == raw:
                         found[owner[i]][item] = 0
 
+    def _candidates(self, data: np.ndarray, starts: np.ndarray):
+        """Yield starts and entries that agree in a sample and in ``HAMMING`` of the checked places."""
+        seen = self.embedded(data, starts)
+        checked = seen[self.checked]
+        for j, (keys, members) in enumerate(self.tables):
+            mine = self.keys(seen, j)
+            hit = np.flatnonzero(self.known[j][mine >> np.uint32(32 - self.bits)])
+            low, high = np.searchsorted(keys, mine[hit], "left"), np.searchsorted(keys, mine[hit], "right")
+            ends = np.cumsum(high - low)
+            total = int(ends[-1]) if len(ends) else 0
+            for first in range(0, total, PAIRS):
+                pair = np.arange(first, min(first + PAIRS, total))
+                of = np.searchsorted(ends, pair, "right")
+                entry = members[pair - (ends[of] - high[of])]
+                agree = (checked[:, hit[of]] == self.seen[:, entry]).sum(axis=0, dtype=np.int32)
+                good = agree >= HAMMING * CHECKED
+                yield starts[hit[of[good]]], entry[good]
+
+    def _close(self, data: np.ndarray, starts: np.ndarray):
+        """Yield starts and entries whose whole items agree with the text, about ``PAIRS`` at a time."""
+        held, n = [], 0
+        for i in range(0, len(starts), BLOCK):
+            for start, entry in self._candidates(data, starts[i : i + BLOCK]):
+                held.append(start * len(self.owner) + entry)
+                n += len(start)
+                if n >= PAIRS:
+                    yield self._whole(data, held)
+                    held, n = [], 0
+        if n:
+            yield self._whole(data, held)
+
+    def _whole(self, data: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        start, entry = np.divmod(np.unique(np.concatenate(held)), len(self.owner))
+        close = self._agreement(data, start, entry) >= WHOLE
+        return start[close], entry[close]
+
+    def _agreement(self, data: np.ndarray, start: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Share of the places of an item-sized walk, to both ends of the item, that agree."""
+        item = self.owner[entry]
+        here, size = self.begin[item] + self.place[entry], self.sizes[item]
+        agree = np.zeros(len(start))
+        for direction, steps, one, other in ((1, 2 * (size - self.place[entry]), start, here), (-1, 2 * self.place[entry], start - 1, here - 1)):
+            rank = np.argsort(-steps)
+            one, other, steps = one[rank], other[rank], steps[rank]
+            for t in range(int(steps.max(initial=0))):
+                n = int(np.searchsorted(-steps, -t, "left"))
+                a, b = data.take(one[:n], mode="clip"), self.text.take(other[:n], mode="clip")
+                agree[rank[:n]] += a == b
+                one[:n] += direction * self.far[t][a]
+                other[:n] += direction * self.far[t][b]
+        return agree / (2 * size)
+
     def _long_matches(self, offsets, data, found) -> None:
-        one, other = self._slots(data)
-        hits = np.concatenate(([0], np.cumsum(self.known[0][one] & self.known[1][other]), np.zeros(GRAM - 1, np.int64)))
-        hits[len(data) - GRAM + 2 :] = hits[len(data) - GRAM + 1]
-        starts = np.flatnonzero(data[:-1] == 32) + 1
-        owner = np.searchsorted(offsets, starts, "right") - 1
-        limit = offsets[owner + 1] - 1
-        raw = data.tobytes()
-        # No window of a smaller class has more than the largest one from the same start.
-        longest = max(self.classes)
-        widest = hits[np.maximum(np.minimum(starts + longest, limit) - GRAM + 1, starts)] - hits[starts]
-        some = np.flatnonzero(widest >= max(2, DENSITY * min(self.classes)))
-        windows = {}
-        for size in self.classes if len(some) else ():
-            here = starts[some]
-            ends = np.minimum(here + size, limit[some])
-            stops = np.maximum(ends - GRAM + 1, here)
-            count = hits[stops] - hits[here]
-            third = size // 3
-            good = count >= max(2, DENSITY * size)
-            good &= (hits[np.minimum(here + third, stops)] > hits[here]) & (hits[stops] > hits[np.maximum(stops - third, here)])
-            good &= hits[np.maximum(stops - third, here)] > hits[np.minimum(here + third, stops)]
-            pick = np.flatnonzero(good)
-            most = count[pick]
-            for k in range(-NEAR, NEAR + 1):
-                other = np.clip(pick + k, 0, len(some) - 1)
-                near = (owner[some[other]] == owner[some[pick]]) & (some[other] - some[pick] == k)
-                most = np.maximum(most, np.where(near, count[other], 0))
-            dense = pick[count[pick] >= 0.9 * most]
-            if len(dense):
-                windows[size] = (here[dense], ends[dense])
-        if not windows:
-            return
+        starts = window_starts(data)
+        starts = starts[starts < len(data) - 1]
         regions = defaultdict(set)
-        for size, keys in self.keys(data, windows).items():
-            table = self.tables[size]
-            agree = np.flatnonzero(np.isin(keys, self.sorted_keys[size]).any(axis=1))
-            for start, row_keys in zip(windows[size][0][agree].tolist(), keys[agree].tolist()):
-                for item in {i for key in row_keys for i in table.get(key, ())}:
-                    regions[item].add(start)
+        for start, entry in self._close(data, starts):
+            for item, at, place in zip(self.owner[entry].tolist(), start.tolist(), self.place[entry].tolist()):
+                regions[item].add((at, place))
+        raw = data.tobytes() if regions else b""
         for item, at in regions.items():
             pattern = self.items[item]
             allowed = int(ERRORS * len(pattern))
-            at = sorted(at)
-            for start, stop in self._runs(at, np.searchsorted(offsets, at, "right").tolist(), len(pattern)):
-                row = int(np.searchsorted(offsets, start, "right")) - 1
-                low, high = max(offsets[row], start - allowed), min(offsets[row + 1], stop + len(pattern) + 2 * allowed)
-                distance = edit_distance_within(pattern, raw[low:high])
-                if distance <= allowed:
-                    found[row][item] = min(distance, found[row].get(item, distance))
+            # The row is that of the window, whose item may seem to begin before it.
+            rows = defaultdict(list)
+            for start, place in at:
+                rows[int(np.searchsorted(offsets, start, "right")) - 1].append(start - place)
+            for row, begins in rows.items():
+                for first, last in self._runs(sorted(begins), len(pattern)):
+                    low, high = max(offsets[row], first - 2 * allowed), min(offsets[row + 1], last + len(pattern) + 2 * allowed)
+                    distance = edit_distance_within(pattern, raw[low:high])
+                    if distance <= allowed:
+                        found[row][item] = min(distance, found[row].get(item, distance))
 
     @staticmethod
-    def _runs(at: list[int], row: list[int], reach: int):
-        """First and last start of candidate windows of one row that lie within ``reach``."""
+    def _runs(at: list[int], reach: int):
+        """First and last of sorted places that lie within ``reach`` of the next."""
         first = 0
         for k in range(1, len(at) + 1):
-            if k == len(at) or row[k] != row[k - 1] or at[k] - at[k - 1] > reach:
+            if k == len(at) or at[k] - at[k - 1] > reach:
                 yield at[first], at[k - 1]
                 first = k
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from hearthstat.llm import decontaminate
 
@@ -39,16 +40,61 @@ def edited(rnd, text, rate):
     return "".join(out)
 
 
-def test_recall_and_clean_texts():
+def replaced(rnd, text, rate):
+    """All edits in one place."""
+    n = int(len(text) * rate)
+    at = rnd.randrange(len(text) - n + 1)
+    return text[:at] + "".join(rnd.choice("etaoinsh ") for _ in range(n)) + text[at + n :]
+
+
+def recall(index, texts, ids):
+    """Share of the items found among those that brute force finds within the limit."""
+    found, within = [], []
+    for item_id, text, matches in zip(ids, texts, index.matches(column(texts))):
+        item = index.items[index.ids.index(item_id)]
+        raw = np.frombuffer(text.encode(), np.uint8)
+        near = decontaminate.edit_distance_within(item, decontaminate.plain(np.array([0, len(raw)]), raw)[1].tobytes())
+        limit = int(decontaminate.ERRORS * len(item))
+        within.append(near <= limit)
+        found.append(any(index.ids[k] == item_id for k in matches))
+        assert all(d <= limit for k, d in matches.items() if index.ids[k] == item_id)
+    return np.mean(np.array(found)[within])
+
+
+@pytest.mark.parametrize("edit", (edited, replaced))
+@pytest.mark.parametrize("rate, least", ((0.0, 1.0), (0.05, 0.95), (0.1, 0.95), (0.15, 0.9), (0.18, 0.9)))
+def test_recall_over_the_whole_limit(edit, rate, least):
     rng, rnd = np.random.default_rng(3), random.Random(3)
+    items = [(i, prose(rng, int(rng.integers(15, 55)))) for i in range(80)]
+    texts = [prose(rng, 60) + " " + edit(rnd, t, rate).upper() + ", " + prose(rng, 60) for _, t in items]
+    assert recall(decontaminate.Index(items), texts, [i for i, _ in items]) >= least
+
+
+def test_recall_of_short_items_and_of_items_run_into_text():
+    rng, rnd = np.random.default_rng(5), random.Random(5)
+    short = [(i, prose(rng, 9)[:60].strip()) for i in range(80)]
+    short = [(i, t) for i, t in short if len(t) > decontaminate.SHORT]
+    texts = [prose(rng, 40) + " " + edited(rnd, t, 0.1) + " " + prose(rng, 40) for _, t in short]
+    assert recall(decontaminate.Index(short), texts, [i for i, _ in short]) >= 0.9
+    items = [(i, prose(rng, 30)) for i in range(40)]
+    texts = [prose(rng, 40) + t + prose(rng, 40) for _, t in items]
+    assert recall(decontaminate.Index(items), texts, [i for i, _ in items]) == 1
+    marks = ["".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(200)) for _ in range(20)]
+    items = [(i, t[70:120]) for i, t in enumerate(marks)]
+    assert recall(decontaminate.Index(items), marks, [i for i, _ in items]) == 1
+
+
+def test_clean_texts_and_one_text_for_many_items():
+    rng = np.random.default_rng(3)
     items = [(i, prose(rng, int(rng.integers(15, 55)))) for i in range(40)]
-    index = decontaminate.Index(items)
-    for rate, least in ((0.0, 1.0), (0.05, 0.9), (0.1, 0.7)):
-        texts = [prose(rng, 60) + " " + edited(rnd, t, rate).upper() + ", " + prose(rng, 60) for _, t in items]
-        found = list(index.matches(column(texts)))
-        assert np.mean([any(index.ids[k] == i for k in m) for (i, _), m in zip(items, found)]) >= least
     clean = [prose(rng, 200) for _ in range(100)]
-    assert not any(index.matches(column(clean)))
+    assert not any(decontaminate.Index(items).matches(column(clean)))
+    common = prose(rng, 25)
+    alike = [(i, f"{common} {prose(rng, 2)}") for i in range(50)]
+    text = f"{prose(rng, 30)} {common} {prose(rng, 30)}"
+    (found,) = decontaminate.Index(alike).matches(column([text]))
+    plain = text.encode()
+    assert set(found) == {i for i, (_, t) in enumerate(alike) if decontaminate.edit_distance_within(t.encode(), plain) <= len(t) // 5}
 
 
 def test_rows_in_spark(spark, odd_docs, odd_rows):
