@@ -13,8 +13,9 @@ ASCII punctuation one space.  A text holds an item when some stretch of it is wi
 2. A sample is a few places of all walks.  A window of a text and one of an item that agree in all
    places of a sample are candidates.  The number of places grows with the logarithm of the
    windows of items, so that chance agreements stay rare, and the number of samples follows: a
-   window whose embedding agrees in half of the places is found with ``ENTRY_RECALL``, and an item
-   with few windows is in so many samples that ``EXPECTED`` of them agree.
+   window whose embedding agrees in half of the places is found with ``ENTRY_RECALL``.  An item with
+   few windows, which share its edits, is in more samples: ``EXPECTED`` of them agree with its
+   only window, and with each of ``n`` windows fewer by ``n**1.5``.
 3. Candidates go on if they agree in ``HAMMING`` of ``CHECKED`` places, and then if a walk over the
    whole item, to its end and to its beginning, agrees with the text in ``WHOLE`` of its places.
    A fifth of edits leaves 0.4 and more.
@@ -45,10 +46,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .arrays import prefix_sums, span_hashes, text_slices
 
 ERRORS, SHORT = 0.2, 30
-WALKS, STEPS = 5, 64
-CHANCE, AGREE, ENTRY_RECALL, EXPECTED = 0.12, 0.5, 0.15, 1.6
-CHECKED, HAMMING, WHOLE = 128, 0.35, 0.33
-BLOCK, PAIRS = 1 << 14, 1 << 17
+WALKS, STEPS = 4, 64
+CHANCE, AGREE, ENTRY_RECALL, EXPECTED = 0.12, 0.5, 0.12, 4.0
+CHECKED, HAMMING, WHOLE = 96, 0.4, 0.33
+BLOCK, PAIRS = 1 << 15, 1 << 17
 ITEMS = 5000
 SLICE = 4 << 20
 
@@ -140,7 +141,7 @@ class Index:
         self.far = rng.integers(0, 2, (2 * int(self.sizes.max(initial=0)), 256), dtype=np.int64)
         places = max(5, 7 + round(float(np.log(max(len(self.owner), 1) / 6000) / np.log(1 / CHANCE))))
         windows = np.bincount(self.owner, minlength=len(self.items))[self.owner]
-        enough = np.ceil(np.maximum(-np.log(1 - ENTRY_RECALL), EXPECTED / windows) / AGREE**places)
+        enough = np.ceil(np.maximum(-np.log(1 - ENTRY_RECALL), EXPECTED / windows**1.5) / AGREE**places)
         samples = int(enough.max(initial=0))
         self.samples = [rng.choice(WALKS * STEPS, places, replace=False) for _ in range(samples)]
         self.weights = rng.integers(0, 1 << 31, (samples, places), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -209,7 +210,10 @@ class Index:
         for j, (keys, members) in enumerate(self.tables):
             mine = self.keys(seen, j)
             hit = np.flatnonzero(self.known[j][mine >> np.uint32(32 - self.bits)])
-            low, high = np.searchsorted(keys, mine[hit], "left"), np.searchsorted(keys, mine[hit], "right")
+            low = np.searchsorted(keys, mine[hit])
+            known = keys.take(low, mode="clip") == mine[hit]
+            hit, low = hit[known], low[known]
+            high = np.searchsorted(keys, mine[hit], "right")
             ends = np.cumsum(high - low)
             total = int(ends[-1]) if len(ends) else 0
             for first in range(0, total, PAIRS):
