@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..operators.first_row import RowOrder
 from ..operators.numbering import row_in_task, starts
@@ -24,7 +26,7 @@ class FieldProblems:
         self._seen, self._names = Observation(), []
 
     def attach(self, lines: DataFrame, layout: list[Field], texts: dict[str, Column]) -> DataFrame:
-        """Count on ``lines``, which hold the parsed fields and ``value``."""
+        """Count on ``lines``, which hold the parsed fields and the columns of ``texts``."""
         self._names = [f.name for f in layout]
         counts = []
         for i, f in enumerate(layout):
@@ -56,12 +58,13 @@ def read_fwf(
     """
     lines = _numbered_lines(spark, path) if file_order else spark.read.text(path)
     number = ["src_line"] if file_order else []
-    columns = [_field(F.col("value"), f, na_strings) for f in layout]
     if problems is None:
-        return lines.select(*columns, *number)
-    texts = {f.name: _text(F.col("_line"), f, na_strings) for f in layout}
-    parsed = lines.select(F.col("value").alias("_line"), *columns, *number)
-    return problems.attach(parsed, layout, texts).drop("_line")
+        return lines.select(*(_field(F.col("value"), f, na_strings) for f in layout), *number)
+    # Each text is cut once, for its field and for both counts.
+    texts = [f"_text{i}" for i in range(len(layout))]
+    cut = _texts(lines, layout, na_strings, texts, number)
+    parsed = cut.select(*texts, *(_number(F.col(t), f).alias(f.name) for t, f in zip(texts, layout)), *number)
+    return problems.attach(parsed, layout, {f.name: F.col(t) for t, f in zip(texts, layout)}).drop(*texts)
 
 
 def _numbered_lines(spark: SparkSession, path) -> DataFrame:
@@ -98,12 +101,12 @@ def field_problems(
     ``read_fwf`` makes both NULL; this pass over the lines tells them apart.  ``FieldProblems``
     counts the same while the lines are read.
     """
-    lines = spark.read.text(path)
+    texts = [f"_text{i}" for i in range(len(layout))]
+    lines = _texts(spark.read.text(path), layout, na_strings, texts)
     counts = []
-    for f in layout:
-        text = _text(F.col("value"), f, na_strings)
+    for text, f in zip(map(F.col, texts), layout):
         counts.append(F.count_if(text.isNull()).alias(f"m_{f.name}"))
-        counts.append(F.count_if(text.isNotNull() & text.try_cast(f.dtype).isNull()).alias(f"u_{f.name}"))
+        counts.append(F.count_if(text.isNotNull() & _number(text, f).isNull()).alias(f"u_{f.name}"))
     rows = [
         F.struct(F.lit(f.name).alias("field"), F.col(f"m_{f.name}").alias("n_missing"), F.col(f"u_{f.name}").alias("n_unreadable"))
         for f in layout
@@ -111,8 +114,41 @@ def field_problems(
     return lines.agg(*counts).select(F.inline(F.array(*rows)))
 
 
+def _texts(lines: DataFrame, layout: list[Field], na_strings: tuple[str, ...], names: list[str], other: Sequence[str] = ()) -> DataFrame:
+    """All fields' texts, cut from pieces of the line: a cut counts characters from where it looks."""
+    widest: dict[int, int] = {}
+    for f in layout:
+        piece = (f.start - 1) // _PIECE
+        widest[piece] = max(widest.get(piece, 0), f.width)
+    pieces = [F.substring("value", k * _PIECE + 1, _PIECE + w).alias(f"_piece{k}") for k, w in widest.items()]
+    columns = []
+    for f, name in zip(layout, names):
+        piece, start = divmod(f.start - 1, _PIECE)
+        columns.append(_text(F.col(f"_piece{piece}"), Field(f.name, start + 1, f.width, f.dtype), na_strings).alias(name))
+    return lines.select(*pieces, *other).select(*columns, *other)
+
+
+_PIECE = 24
+
+
 def _field(line: Column, field: Field, na_strings: tuple[str, ...]) -> Column:
-    return _text(line, field, na_strings).try_cast(field.dtype).alias(field.name)
+    return _number(_text(line, field, na_strings), field).alias(field.name)
+
+
+# Characters that no whole number has, nor the blanks around one.
+_NOT_WHOLE = "[!-*,./:-~]"
+
+
+def _number(text: Column, field: Field) -> Column:
+    """``text`` as the field's type, NULL if it is unreadable.
+
+    Spark raises and catches an error for each text that it cannot cast, which takes far longer
+    than the cast; text that plainly is no whole number never gets there.
+    """
+    dtype = T.DataType.fromDDL(field.dtype) if isinstance(field.dtype, str) else field.dtype
+    if not isinstance(dtype, T.IntegralType):
+        return text.try_cast(dtype)
+    return F.when(~text.rlike(_NOT_WHOLE), text.try_cast(dtype))
 
 
 def _text(line: Column, field: Field, na_strings: tuple[str, ...]) -> Column:

@@ -196,6 +196,32 @@ def test_problems_are_counted_while_reading(spark, tmp_path):
         assert sorted(map(tuple, problems.table(spark).collect())) == [("a", 2, 1), ("b", 1, 1)]
 
 
+def test_text_that_is_no_whole_number_is_never_cast(spark):
+    from hearthstat.sources.fixed_width import _NOT_WHOLE, _number
+    from hearthstat.sources.layouts import Field
+
+    odd = ["1.5", "+5", "-5", "\t5", "5\x01", "\x7f5", "1e3", "\u0663", "9999999999", "--5", "5-", "0x1F", "NaN", "a", "5 5", "+", "\u00a05", None]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    for dtype in ("int", "bigint", "double"):
+        rows = df.select("t", _number(F.col("t"), Field("a", 1, 4, dtype)).alias("n"), F.col("t").try_cast(dtype).alias("cast")).collect()
+        assert [r.t for r in rows if repr(r.n) != repr(r["cast"])] == []
+    assert _NOT_WHOLE in df.select(_number(F.col("t"), Field("a", 1, 4, "int")).alias("n"))._jdf.queryExecution().toString()
+
+
+def test_each_text_is_cut_once_while_problems_are_counted(spark, tmp_path):
+    from hearthstat.sources.fixed_width import FieldProblems, field_problems
+
+    (tmp_path / "lines.txt").write_text("12x4 1" + "7" * 60 + "\n   4 2\n")
+    layout = layouts.parse_layout("a:4 b:2 c:30 d:4 e:9:l")
+    problems = FieldProblems()
+    df = read_fwf(spark, str(tmp_path), layout, problems=problems)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("trim(") == len(layout)
+    assert [tuple(r) for r in df.collect()] == [(None, 1, None, 7777, 777777777), (4, 2, None, None, None)]
+    counts = [("a", 0, 1), ("b", 0, 0), ("c", 1, 1), ("d", 1, 0), ("e", 1, 0)]
+    assert sorted(map(tuple, problems.table(spark).collect())) == counts
+    assert sorted(map(tuple, field_problems(spark, str(tmp_path), layout).collect())) == counts
+
+
 def test_session_workspace_leaves_no_folder(spark, tmp_path, monkeypatch):
     import os
 
