@@ -123,13 +123,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = staged(_verified(pairs, rows, classes, orders, k, percent), "links")
         if found.isEmpty():
             break
-        links, tried = links.union(found), tried.union(pairs)
+        tried, near = tried.union(pairs), staged(_merged(near, found), "components")
         again = placed.drop("component")
-        placed, old = staged(_shared(_in_components(again, staged(components(links), "components")), "component"), "candidates"), placed
+        placed, old = staged(_shared(_in_components(again, near), "component"), "candidates"), placed
         forget(old)
     pairs = staged(_pairs(placed, placed, percent, "a < b").join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(_verified(pairs, rows, classes, orders, k, percent))
-    whole = staged(components(links), "components")
+    whole = staged(_merged(near, staged(_verified(pairs, rows, classes, orders, k, percent), "links")), "components")
 
     named = classes.join(whole, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -243,6 +242,18 @@ def _in_components(rows: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select(*rows.columns, F.coalesce("component", "node").alias("component")).distinct()
 
 
+def _merged(near: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``near`` and further ``links``: whole components are joined, not their nodes again."""
+    for end in ("a", "b"):
+        known = near.select(F.col("node").alias(end), F.col("component").alias("_c"))
+        links = links.join(known, end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+    joined = staged(components(links), "joined").select(F.col("node").alias("component"), F.col("component").alias("_now"))
+    moved = near.join(joined, "component", "left").select("node", F.coalesce("_now", "component").alias("component"))
+    # A component's name is one of its nodes; others are nodes that had no link yet.
+    fresh = joined.select(F.col("component").alias("node"), F.col("_now").alias("component"))
+    return moved.union(fresh.join(near, "node", "left_anti"))
+
+
 def _pairs(left: DataFrame, right: DataFrame, percent: int, which: str) -> DataFrame:
     """Classes of different components with a common prefix n-gram that may be linked, the lower one as ``a``."""
 

@@ -106,3 +106,29 @@ def test_long_shingles(spark):
 
 def test_empty_table(spark):
     assert ngram_jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_later_rounds_join_components_and_not_their_nodes_again(spark, monkeypatch):
+    base = prose(np.random.default_rng(11), 400).split()
+    rows = [(i, " ".join(base[: 400 - i])) for i in range(30)]
+    sizes = []
+
+    def counted(edges):
+        sizes.append(edges.filter("a <> b").distinct().count())
+        return components(edges)
+
+    components = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", counted)
+    found = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == sorted((i, c) for i, _, c in brute(rows))
+    assert len(sizes) > 1 and sizes[0] >= 20
+    assert max(sizes[1:]) < sizes[0]
+
+
+def test_merged_components(spark):
+    near = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (7, 5), (8, 8), (9, 8)], "node long, component long")
+    links = spark.createDataFrame([(2, 7), (3, 4), (0, 9), (10, 0)], "a long, b long")
+    merged = {r.node: r.component for r in jaccard_join._merged(near, links).collect()}
+    assert merged == {1: 1, 2: 1, 5: 1, 7: 1, 3: 3, 4: 3, 0: 0, 8: 0, 9: 0, 10: 0}
+    unchanged = jaccard_join._merged(near, links.limit(0)).collect()
+    assert sorted(map(tuple, unchanged)) == sorted(map(tuple, near.collect()))
