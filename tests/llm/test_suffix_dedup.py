@@ -97,3 +97,30 @@ def test_copies_of_a_row_send_one_piece(spark, monkeypatch):
     assert seen and len(found) == 3003
     assert all(r._dedup.n_removed == r._dedup.n_bytes for r in found if r.doc_id == 1)  # copies of each other
     assert all(len(shared.encode()) <= r._dedup.n_removed < r._dedup.n_bytes for r in found if r.doc_id > 1)
+
+
+def test_both_sorts_find_the_same_starts():
+    rng = np.random.default_rng(5)
+    for length in (3, 8, 9, 40, 101, 400):
+        for letters in (2, 30):
+            pieces = [bytes(rng.integers(0, letters, rng.integers(1, 3 * length), dtype=np.uint8)) for _ in range(12)]
+            pieces += [p[rng.integers(0, len(p)) :] + pieces[0] for p in pieces[:6]] + [b"\0" * 2 * length, b"", pieces[1]]
+            text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+            size = np.array([len(p) for p in pieces])
+            begin = np.cumsum(size + 1) - size - 1
+            starts = [(int(b) + i, p[i : i + length]) for b, p in zip(begin, pieces) for i in range(len(p) - length + 1)]
+            seen = Counter(s for _, s in starts)
+            expected = [i for i, s in starts if seen[s] > 1]
+            for found in (suffix_dedup._starts_in_memory, suffix_dedup._starts_on_disk):
+                assert found(text, begin, begin + size, length).tolist() == expected
+
+
+def test_a_shard_is_sorted_in_memory_up_to_its_limit(monkeypatch):
+    text = np.frombuffer(b"abcabc\0", np.uint8)
+    ends = np.array([0]), np.array([6])
+    with monkeypatch.context() as m:
+        m.setattr(suffix_dedup, "suffixes", None)
+        assert [x.tolist() for x in suffix_dedup.repeats(text, *ends, 3)] == [[0], [6]]
+    monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 6)
+    monkeypatch.setattr(suffix_dedup, "_starts_in_memory", None)
+    assert [x.tolist() for x in suffix_dedup.repeats(text, *ends, 3)] == [[0], [6]]
