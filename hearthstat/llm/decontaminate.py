@@ -109,6 +109,16 @@ def window_starts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def _agreeing(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many of the ``CHECKED`` bytes of each row agree, added up eight bytes at a time."""
+    same = (one == other).view(np.uint64)
+    total = same[:, 0].copy()
+    for i in range(1, same.shape[1]):
+        total += same[:, i]
+    # Each of the eight bytes holds at most CHECKED / 8; their sum is the highest byte.
+    return (total * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
 class Index:
     """The items of one block: embedded windows from each of their words, and the tables of samples."""
 
@@ -147,7 +157,7 @@ class Index:
         self.weights = rng.integers(0, 1 << 31, (samples, places), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.checked = np.sort(rng.choice(WALKS * STEPS, CHECKED, replace=False))
         seen = self.embedded(self.text, self.begin[self.owner] + self.place)
-        self.seen = seen[self.checked]
+        self.seen = np.ascontiguousarray(seen[self.checked].T)
         self.bits = min(21, int(len(self.owner)).bit_length() + 5)
         self.tables, self.known = [], np.zeros((samples, 1 << self.bits), bool)
         for j in range(samples):
@@ -206,10 +216,10 @@ class Index:
     def _candidates(self, data: np.ndarray, starts: np.ndarray):
         """Yield starts and entries that agree in a sample and in ``HAMMING`` of the checked places."""
         seen = self.embedded(data, starts)
-        checked = seen[self.checked]
+        checked = np.ascontiguousarray(seen[self.checked].T)
         for j, (keys, members) in enumerate(self.tables):
             mine = self.keys(seen, j)
-            hit = np.flatnonzero(self.known[j][mine >> np.uint32(32 - self.bits)])
+            hit = np.flatnonzero(self.known[j].take(mine >> np.uint32(32 - self.bits)))
             low = np.searchsorted(keys, mine[hit])
             known = keys.take(low, mode="clip") == mine[hit]
             hit, low = hit[known], low[known]
@@ -220,8 +230,7 @@ class Index:
                 pair = np.arange(first, min(first + PAIRS, total))
                 of = np.searchsorted(ends, pair, "right")
                 entry = members[pair - (ends[of] - high[of])]
-                agree = (checked[:, hit[of]] == self.seen[:, entry]).sum(axis=0, dtype=np.int32)
-                good = agree >= HAMMING * CHECKED
+                good = _agreeing(checked.take(hit[of], axis=0), self.seen.take(entry, axis=0)) >= HAMMING * CHECKED
                 yield starts[hit[of[good]]], entry[good]
 
     def _close(self, data: np.ndarray, starts: np.ndarray):
@@ -246,16 +255,22 @@ class Index:
         """Share of the places of an item-sized walk, to both ends of the item, that agree."""
         item = self.owner[entry]
         here, size = self.begin[item] + self.place[entry], self.sizes[item]
-        agree = np.zeros(len(start))
+        agree, left = np.zeros(len(start)), 2.0 * size
         for direction, steps, one, other in ((1, 2 * (size - self.place[entry]), start, here), (-1, 2 * self.place[entry], start - 1, here - 1)):
             rank = np.argsort(-steps)
-            one, other, steps = one[rank], other[rank], steps[rank]
-            for t in range(int(steps.max(initial=0))):
-                n = int(np.searchsorted(-steps, -t, "left"))
+            one, other, ends = one[rank], other[rank], -steps[rank]
+            for t in range(-int(ends.min(initial=0))):
+                if t % 16 == 0:
+                    # What cannot reach ``WHOLE`` any more is done, as is what is at its end.
+                    n = int(np.searchsorted(ends, -t, "left"))
+                    able = np.flatnonzero(agree[rank[:n]] + left[rank[:n]] - np.minimum(t, -ends[:n]) >= WHOLE * 2 * size[rank[:n]] - 1)
+                    rank, one, other, ends = rank[able], one[able], other[able], ends[able]
+                n = int(np.searchsorted(ends, -t, "left"))
                 a, b = data.take(one[:n], mode="clip"), self.text.take(other[:n], mode="clip")
                 agree[rank[:n]] += a == b
-                one[:n] += direction * self.far[t][a]
-                other[:n] += direction * self.far[t][b]
+                one[:n] += direction * self.far[t].take(a)
+                other[:n] += direction * self.far[t].take(b)
+            left -= steps
         return agree / (2 * size)
 
     def _long_matches(self, offsets, data, found) -> None:

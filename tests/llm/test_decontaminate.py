@@ -108,3 +108,35 @@ def test_rows_in_spark(spark, odd_docs, odd_rows):
     assert kept.columns == docs.columns and kept.count() == len(odd_rows) - 1
     assert decontaminate.contamination(docs, benchmark.limit(0)).count() == 0
     assert decontaminate.clean(docs.limit(0), benchmark).count() == 0
+
+
+def test_agreement_counts_and_early_ends_change_no_verdict():
+    rng = np.random.default_rng(3)
+    one, other = rng.integers(0, 3, (2, 500, decontaminate.CHECKED), dtype=np.uint8)
+    other[0] = one[0]
+    assert decontaminate._agreeing(one, other).tolist() == (one == other).sum(axis=1).tolist()
+    items = [(i, prose(rng, 40)) for i in range(6)]
+    index = decontaminate.Index(items)
+    data = np.frombuffer((" " + " ".join([t[7:] for _, t in items] + [prose(rng, 300)]) + " ").encode(), np.uint8)
+    starts, entries = (x.ravel() for x in np.meshgrid(decontaminate.window_starts(data)[:-1], np.arange(len(index.owner))))
+    far = []
+
+    def take(a, at):
+        return int(a[min(max(at, 0), len(a) - 1)])
+
+    for start, entry in zip(starts.tolist(), entries.tolist()):
+        item, place = int(index.owner[entry]), int(index.place[entry])
+        here, size, same = int(index.begin[item]) + place, int(index.sizes[item]), 0
+        for way, steps, x, y in ((1, 2 * (size - place), start, here), (-1, 2 * place, start - 1, here - 1)):
+            for t in range(steps):
+                a, b = take(data, x), take(index.text, y)
+                same += a == b
+                x, y = x + way * int(index.far[t][a]), y + way * int(index.far[t][b])
+        far.append(same / (2 * size))
+        if len(far) == 400:
+            break
+    far = np.array(far)
+    found = index._agreement(data, starts[: len(far)], entries[: len(far)])
+    assert ((found >= decontaminate.WHOLE) == (far >= decontaminate.WHOLE)).all()
+    assert (found[far >= decontaminate.WHOLE] == far[far >= decontaminate.WHOLE]).all() and (far >= decontaminate.WHOLE).any()
+    assert (found < far).any()  # a walk that cannot reach the limit ends early
