@@ -13,8 +13,11 @@ sketch bears only on cost, any order gives the same links.
 3. Candidates are the pairs of classes from different components that share a prefix n-gram
    under the first order, at places that leave enough n-grams behind, and under each further
    order, intersected before verification.  Pairs inside a component need none: they cannot
-   change components; so one class of each group is compared with the others first, in up to
-   ``ROUNDS`` rounds, which leaves few components to a group of near copies.  Before a pair of the first order is written at all, the parities of both
+   change components; so a few classes of each group are compared with the others first, in
+   rounds of 1, 4, 16 and 64 (``ROUNDS``) while a round finds a link for every ``WORTH`` rows, which
+   leaves few components to a group of near copies.  Each group draws its own classes in each
+   round: near copies share many groups, and one class that links with few of them would else
+   stand for all.  Before a pair of the first order is written at all, the parities of both
    sets are compared: each n-gram flips one of ``BITS`` bits, so two sets differ in at least
    as many n-grams as bits, and linked sets differ in few.  No link is lost by that.
 4. Candidates are verified on the texts; components are joined again.
@@ -43,7 +46,8 @@ from .staging import forget, staged
 K, PERCENT = 3, 90
 ORDERS = 3  # under which candidates must share a prefix n-gram
 LEADS = 4  # orders whose first n-gram groups classes for step 2
-ROUNDS = 2  # in which a class of each prefix group is compared with all others of it
+ROUNDS = (1, 4, 16, 64)  # classes of each prefix group that are compared with all others of it
+WORTH = 1000  # rows for each of which a round must find a link, or it was the last
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 BITS = 512  # of a set's parities
 _PARITY = [f"s{i}" for i in range(BITS // 64)]
@@ -115,18 +119,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = staged(placed, "candidates")
     forget(prefixes)
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for seed in range(ROUNDS):
-        # Every group's classes against one of them: at most a pair for each row.
-        pivots = placed.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(seed))).alias("pivot"))
-        pivots = placed.join(pivots, "token").filter("node = pivot").drop("pivot")
+    for many in ROUNDS:
+        # Every group's classes against a few of them: at most so many pairs for each row.
+        drawn = F.xxhash64("node", "token", F.lit(many))
+        pivots = placed.groupBy("token", F.pmod(drawn, F.lit(many)).alias("_part")).agg(F.min_by("node", drawn).alias("pivot"))
+        pivots = placed.join(pivots.drop("_part"), "token").filter("node = pivot").drop("pivot")
         pairs = staged(_pairs(pivots, placed, percent, "a <> b").join(tried, ["a", "b"], "left_anti"), "pairs")
         found = staged(_verified(pairs, rows, classes, orders, k, percent), "links")
-        if found.isEmpty():
+        tried, links, rows_left = tried.union(pairs), found.count(), placed.count()
+        if not links:
             break
-        tried, near = tried.union(pairs), staged(_merged(near, found), "components")
+        near = staged(_merged(near, found), "components")
         again = placed.drop("component")
         placed, old = staged(_shared(_in_components(again, near), "component"), "candidates"), placed
         forget(old)
+        if links * WORTH < rows_left:
+            break
     pairs = staged(_pairs(placed, placed, percent, "a < b").join(tried, ["a", "b"], "left_anti"), "pairs")
     whole = staged(_merged(near, staged(_verified(pairs, rows, classes, orders, k, percent), "links")), "components")
 

@@ -125,6 +125,30 @@ def test_later_rounds_join_components_and_not_their_nodes_again(spark, monkeypat
     assert max(sizes[1:]) < sizes[0]
 
 
+def test_pivots_of_their_own_leave_few_pairs_of_near_copies(spark, monkeypatch):
+    """Copies of one text that link with some others each: rounds find most links before all pairs are looked at."""
+    rng = np.random.default_rng(14)
+    base = prose(rng, 150).split()
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for at in rng.choice(150, rng.integers(1, 4), replace=False):
+            words[at] = f"new{rng.integers(0, 50)}"
+        rows.append((i, " ".join(words)))
+    written, whole = [], jaccard_join.staged
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name == "pairs":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", counted)
+    found = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=5, percent=80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == sorted((i, c) for i, _, c in brute(rows, 80, 5))
+    assert written[-1] < 700, written
+
+
 def test_merged_components(spark):
     near = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (7, 5), (8, 8), (9, 8)], "node long, component long")
     links = spark.createDataFrame([(2, 7), (3, 4), (0, 9), (10, 0)], "a long, b long")
