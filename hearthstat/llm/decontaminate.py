@@ -36,6 +36,7 @@ are judged each for itself; empty tables give no rows; other columns are not rea
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 
 import numpy as np
@@ -119,6 +120,21 @@ def _agreeing(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (total * np.uint64(0x0101010101010101)) >> np.uint64(56)
 
 
+@functools.cache
+def _two_steps(moves: bytes) -> np.ndarray:
+    """For each walk, even step and two bytes of text: the byte written second, and 256 for each place moved on in both."""
+    single = np.frombuffer(moves, np.uint8).reshape(WALKS, STEPS, 256)
+    table = np.empty((WALKS, STEPS // 2, 1 << 16), np.uint16)
+    # Entries go by first byte plus 256 times the next.
+    first, after = np.tile(np.arange(256, dtype=np.uint8), 256), np.repeat(np.arange(256, dtype=np.uint8), 256)
+    for w in range(WALKS):
+        for t in range(0, STEPS, 2):
+            on = single[w, t].take(first)
+            second = np.where(on, after, first)
+            table[w, t // 2] = second + 256 * (on + single[w, t + 1].take(second)).astype(np.uint16)
+    return table
+
+
 class Index:
     """The items of one block: embedded windows from each of their words, and the tables of samples."""
 
@@ -169,15 +185,20 @@ class Index:
 
     def embedded(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bytes that the walks write from each start: one row for each step of each walk."""
-        seen = np.empty((WALKS * STEPS, len(starts)), np.uint8)
-        move = np.empty(len(starts), np.int64)
+        seen, steps = np.empty((WALKS * STEPS, len(starts)), np.uint8), _two_steps(self.moves.astype(np.uint8).tobytes())
+        low, high = (min(int(starts.min()), len(text) - 1), int(starts.max()) + STEPS + 1) if len(starts) else (0, 0)
+        part = text[low : high + 1].astype(np.uint16)
+        part[:-1] += part[1:] << np.uint16(8)
+        part[-1:] *= np.uint16(257)  # beyond the last byte it is read again
+        both, moved = np.empty((2, len(starts)), np.uint16)
         for w in range(WALKS):
-            at = starts.astype(np.int64)
-            for t in range(STEPS):
-                row = seen[w * STEPS + t]
-                np.take(text, at, out=row, mode="clip")
-                np.take(self.moves[w, t], row, out=move, mode="clip")
-                at += move
+            at = starts.astype(np.int64) - low
+            for t in range(0, STEPS, 2):
+                np.take(part, at, out=both, mode="clip")
+                np.take(steps[w, t // 2], both, out=moved, mode="clip")
+                seen[w * STEPS + t], seen[w * STEPS + t + 1] = both, moved  # their low bytes
+                moved >>= np.uint16(8)
+                at += moved
         return seen
 
     def keys(self, seen: np.ndarray, sample: int) -> np.ndarray:
@@ -215,22 +236,27 @@ class Index:
 
     def _candidates(self, data: np.ndarray, starts: np.ndarray):
         """Yield starts and entries that agree in a sample and in ``HAMMING`` of the checked places."""
-        seen = self.embedded(data, starts)
-        checked = np.ascontiguousarray(seen[self.checked].T)
+        seen, hits = self.embedded(data, starts), []
         for j, (keys, members) in enumerate(self.tables):
             mine = self.keys(seen, j)
-            hit = np.flatnonzero(self.known[j].take(mine >> np.uint32(32 - self.bits)))
+            hit = np.flatnonzero(self.known[j].take((mine >> np.uint32(32 - self.bits)).astype(np.intp), mode="clip"))
             low = np.searchsorted(keys, mine[hit])
             known = keys.take(low, mode="clip") == mine[hit]
             hit, low = hit[known], low[known]
-            high = np.searchsorted(keys, mine[hit], "right")
+            hits.append((members, hit, low, np.searchsorted(keys, mine[hit], "right")))
+        # The checked places of windows that agree in some sample, one row each.
+        known = np.zeros(len(starts), bool)
+        for _, hit, *_ in hits:
+            known[hit] = True
+        checked, row = np.ascontiguousarray(seen[self.checked][:, known].T), np.cumsum(known) - 1
+        for members, hit, low, high in hits:
             ends = np.cumsum(high - low)
             total = int(ends[-1]) if len(ends) else 0
             for first in range(0, total, PAIRS):
                 pair = np.arange(first, min(first + PAIRS, total))
                 of = np.searchsorted(ends, pair, "right")
                 entry = members[pair - (ends[of] - high[of])]
-                good = _agreeing(checked.take(hit[of], axis=0), self.seen.take(entry, axis=0)) >= HAMMING * CHECKED
+                good = _agreeing(checked.take(row[hit[of]], axis=0), self.seen.take(entry, axis=0)) >= HAMMING * CHECKED
                 yield starts[hit[of[good]]], entry[good]
 
     def _close(self, data: np.ndarray, starts: np.ndarray):

@@ -140,3 +140,22 @@ def test_agreement_counts_and_early_ends_change_no_verdict():
     assert ((found >= decontaminate.WHOLE) == (far >= decontaminate.WHOLE)).all()
     assert (found[far >= decontaminate.WHOLE] == far[far >= decontaminate.WHOLE]).all() and (far >= decontaminate.WHOLE).any()
     assert (found < far).any()  # a walk that cannot reach the limit ends early
+
+
+def test_two_steps_of_a_walk_are_taken_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    index = decontaminate.Index([(1, prose(rng, 20))])
+    text = rng.integers(0, 256, 300, dtype=np.uint8)
+    starts = np.array([0, 3, 3, 150, 250, 299, 400])
+    want = np.empty((decontaminate.WALKS * decontaminate.STEPS, len(starts)), np.uint8)
+    for i, start in enumerate(starts.tolist()):
+        for w in range(decontaminate.WALKS):
+            at = start
+            for t in range(decontaminate.STEPS):
+                want[w * decontaminate.STEPS + t, i] = byte = text[min(at, len(text) - 1)]
+                at += int(index.moves[w, t, byte])
+    takes, take = [], np.take
+    monkeypatch.setattr(np, "take", lambda *a, **k: takes.append(1) or take(*a, **k))
+    assert (index.embedded(text, starts) == want).all()
+    assert len(takes) <= decontaminate.WALKS * decontaminate.STEPS
+    assert index.embedded(text, starts[:0]).shape == (len(want), 0)
