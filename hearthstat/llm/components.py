@@ -36,6 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = large if small else large.distinct()  # repeated edges change nothing and are never more than before
         least = fitted(large.groupBy("a").agg(F.min("b").alias("m")))
         pointed = large.join(hint_if(least, small), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        stars = staged(fitted(pointed.filter("a <> b").distinct()), "edges")
+        stars = staged(fitted(pointed.filter("a <> b").distinct()), "edges", collect=not small)
         forget(old)
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(fitted(stars.select("b", "b").distinct()))

@@ -40,10 +40,10 @@ def test_a_round_of_few_edges_has_few_shuffles_and_tasks(spark, monkeypatch):
     """The driver keeps a record of each task of each stage, so rounds on little data must have few."""
     rounds, parts, whole = [], [], module.staged
 
-    def planned(df, name):
+    def planned(df, name, **options):
         plan = df._jdf.queryExecution().executedPlan().toString()
         rounds.append(sum("Exchange hashpartitioning" in x and "Reused" not in x for x in plan.splitlines()))
-        out = whole(df, name)
+        out = whole(df, name, **options)
         parts.append(len(out.inputFiles()))
         return out
 
